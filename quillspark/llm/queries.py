@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, simhash, tokens
+from . import decontam, packing, quality, rules, secrets, sharding, simhash, tokens
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,14 +29,30 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_secrets": op1_secrets,
+    "op2_quality": op2_quality,
     "op4_decontam": op4_decontam,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
+    "op7_sharding": op7_sharding,
     "op8_tokens": op8_tokens,
+    "op9_rules": op9_rules,
+}
+ORACLES = {
+    "op4_decontam": decontam.ORACLE_SQL,
+    "op7_sharding": sharding.ORACLE_SQL,
+    "op9_rules": rules.ORACLE_SQL,
 }
-ORACLES = {"op4_decontam": decontam.ORACLE_SQL}
