@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality, rules, secrets, sharding, simhash, tokens
+from . import decontam, licenses, packing, quality, rules, secrets, sharding, simhash, tokens
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.matches(table(spark, sf_dir, "documents"))
+
+
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +48,7 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
+    "op3_licenses": op3_licenses,
     "op4_decontam": op4_decontam,
     "op5_simhash": op5_simhash,
     "op6_packing": op6_packing,
@@ -52,6 +57,7 @@ QUERIES = {
     "op9_rules": op9_rules,
 }
 ORACLES = {
+    "op3_licenses": licenses.oracle_sql(),
     "op4_decontam": decontam.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
     "op9_rules": rules.ORACLE_SQL,
