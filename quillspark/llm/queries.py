@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, packing, quality, rules, secrets, sharding, simhash, tokens
+from . import decontam, licenses, packing, pii, quality, rules, secrets, sharding, simhash, tokens
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -55,6 +59,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_tokens": op8_tokens,
     "op9_rules": op9_rules,
+    "op10_pii": op10_pii,
 }
 ORACLES = {
     "op3_licenses": licenses.oracle_sql(),
