@@ -7,11 +7,14 @@ source in the mixture's share, up to rounding.
 No rank is computed over a whole source or the whole table in one task.  A source is split into buckets
 by leading bits of the seeded hash, in proportion to its rows; a rank is the number of rows in earlier
 buckets (from a small table of bucket counts) plus the rank within the bucket.  The global order is
-split in the same way by fractional rank.  Buckets hold about ``BUCKET`` rows whatever the skew.
+split in the same way by fractional rank.  Buckets hold about four times the square root of the number of
+rows, whatever the skew: that balances what a task ranks against the number of buckets.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +22,11 @@ from .common import stored
 
 SHARDS = 16
 SEED = "quill-7"
-BUCKET = 20_000
+LEAST_BUCKET = 500
 
 
 def interleave(
-    df: DataFrame, source: str = "source", identity: tuple[str, ...] = ("doc_id",), shards: int = SHARDS, seed: str = SEED, bucket: int = BUCKET
+    df: DataFrame, source: str = "source", identity: tuple[str, ...] = ("doc_id",), shards: int = SHARDS, seed: str = SEED, bucket: int | None = None
 ) -> DataFrame:
     """``df`` with columns ``shard`` and ``slot`` (gapless from 0 in each shard).
 
@@ -48,8 +51,10 @@ def interleave(
     )
     sizes = keyed.groupBy("stratum").agg(F.count("*").alias("n"))
     total = keyed.count()
+    bucket = bucket or max(LEAST_BUCKET, 4 * math.isqrt(total))
     part = F.floor(F.col("u") * F.ceil(F.col("n") / bucket))
-    placed = keyed.join(sizes, "stratum").withColumn("part", part)
+    # dealt by bucket before the ranks: else they would be computed where the join has put whole sources
+    placed = keyed.join(sizes, "stratum").withColumn("part", part).repartition("stratum", "part")
     before = Window.partitionBy("stratum").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("stratum", "part").count().select("stratum", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("earlier"))
     within = Window.partitionBy("stratum", "part").orderBy("key", "id")
