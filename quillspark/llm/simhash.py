@@ -275,6 +275,8 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked_fps = named.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
     named_all = distinct.join(linked_fps, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # as a written table, both sides of the last join are plain exchanges and a hot fingerprint can be split
+    named_all = stored(named_all, "named")
     return fps.join(named_all, "fp").select("doc_id", "fp", "component_id")
 
 
