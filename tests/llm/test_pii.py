@@ -78,6 +78,21 @@ def test_learned_spans(spark, model):
     assert got[3] == [] and got[4] == [] and got[5] == ["536-22-1234", "536-22-1235"]
 
 
+def test_numbers_beside_each_other_are_learned_alone(spark, model):
+    rows = [
+        (1, "of +1 (963) 555-1408 4909629000452649 or", ["+1 (963) 555-1408", "4909629000452649"]),
+        (2, "and 4466892759512212 37.133.190.248 x", ["4466892759512212"]),
+        (3, "a +1 (683) 555-5442 55.95.145.182 b", ["+1 (683) 555-5442"]),
+        (4, "two 4466892759512212 4909629000452649 end", ["4466892759512212", "4909629000452649"]),
+        (5, "id 9807915762804497 and 1 000 000 000 or 3.14159265358979", []),
+    ]
+    df = spark.createDataFrame([(d, t, None, None, 1) for d, t, _ in rows], DOCS)
+    got = {r.doc_id: [x.m for x in r.learned] for r in pii.scan(df, model).collect()}
+    assert got == {d: want for d, _, want in rows}
+    clean = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    assert not any(re.search("[0-9]{4}", clean[d]) for d in (1, 2, 3, 4)) and clean[5] == rows[4][1]
+
+
 def test_redaction(spark, model):
     rows = [(1, "mail a@b.cd or 1.2.3.4, +1 (319) 555-5132."), (2, "clean"), (3, None), (4, "+4111 1111 1111 1111 x"), (None, "😀 a@b.cd é")]
     df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
