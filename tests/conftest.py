@@ -6,6 +6,7 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, ROOT)
+sys.path.insert(0, f"{ROOT}/tests")
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 
