@@ -141,7 +141,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         .limit(sample)
     )
     # at most ``sample`` pairs of integers: bounded, whatever the tables hold
-    rows = narrow(docs, "doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "quality")
+    rows = narrow(docs, "doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id")
+    # repeated documents of a label would grow with the corpus: the least of each teaches
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("text", "n_chars")).alias("d")).select("doc_id", "d.text", "d.n_chars", "quality")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -162,11 +164,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     got = taught.toArrow().combine_chunks().sort_by("doc_id")
     if not got.num_rows:
         return Machine()
-    # repeated documents of a label would grow with the corpus; one of each is enough to learn from
-    first = np.unique(got["doc_id"].to_numpy(), return_index=True)[1]
     ids, xs, y = got["ids"], got["x"], got["quality"].to_numpy()
-    data = [(np.array(ids[int(i)].as_py(), np.int64), np.array(xs[int(i)].as_py(), np.float64)) for i in first]
-    return Machine().fit(data, (y[first] >= 1).astype(float))
+    data = [(np.array(ids[i].as_py(), np.int64), np.array(xs[i].as_py(), np.float64)) for i in range(len(y))]
+    return Machine().fit(data, (y >= 1).astype(float))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

@@ -52,3 +52,12 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert 0 <= quality.assess(d, none).first().score <= 1
     assert quality.assess(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_repeated_documents_teach_once_and_in_any_order(spark):
+    rows = [(i, f"{'good calm prose' if i % 2 else 'BUY ### NOW'} {i}", None, None, 20) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    again = [(1, "other text", None, None, None), (1, None, None, None, 3)] + rows[:5] * 50
+    one = quality.train(spark.createDataFrame(rows + again, DOCS), labels)
+    two = quality.train(spark.createDataFrame((rows + again)[::-1], DOCS), labels)
+    assert np.array_equal(one.w, two.w) and np.array_equal(one.v, two.v)
