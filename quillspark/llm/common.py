@@ -31,9 +31,11 @@ def small_batches(spark: SparkSession, rows: int = 512, mb: int = 4) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none (tests)."""
+    """The folder all executors share; a temporary one only in a local session that names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
