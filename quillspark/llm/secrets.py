@@ -4,10 +4,13 @@
    characters, at least 12 long, that mix letters and digits.  Only spans and values are stored.
 2. Base values, labelled by their kind, train one probabilistic automaton for each kind: the prefix tree
    of the values is reduced by merging states whose outgoing frequencies are compatible under
-   Hoeffding's bound (red-blue order, merges folded to keep the automaton deterministic).  Candidates
-   that overlap no base span train a background automaton in the same way.
-3. Every candidate is scored by its log-likelihood a character under its best format, less that under the
-   background; a threshold set on labelled values the automata did not see selects further spans.
+   Hoeffding's bound (red-blue order, merges folded to keep the automaton deterministic).
+3. The background is what non-secrets look like: names, dates and numbers that a seeded rule makes, and the
+   candidates that overlap no base span, without those that resemble a labelled format against the made ones,
+   so that unlabelled secrets do not teach it.
+4. Every candidate is scored by its log-likelihood a character under a format, less that under the
+   background.  Each format has its own limit, set on labelled values and non-secrets that nothing was fitted
+   on: no such non-secret passes, and nineteen of twenty such values do where the two can be told apart.
 
 Training takes at most ``SAMPLE`` distinct values a kind: those with the smallest hash.  Finding and
 scoring cover every text and candidate.
@@ -18,6 +21,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -36,7 +40,7 @@ KINDS = ("assign", "access", "hex", "learned")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SAMPLE = 300
 ALPHA = 0.05
-MARGIN = 0.5  # nats a character above the background at least
+MADE = 1000  # non-secrets made by rule
 END = "$"
 # classes of characters with their sizes; an automaton reads classes and spreads its mass evenly within one
 CLASSES = {"9": 10, "f": 6, "z": 20, "F": 6, "Z": 20, "+": 1, "/": 1, "_": 1, "=": 1, "-": 1, ".": 1, "?": 64}
@@ -131,29 +135,120 @@ class Automaton:
         return total / (len(value) + 1)
 
 
+class Pairs:
+    """Frequencies of neighbouring classes: a background for values whose steps no automaton has seen."""
+
+    def __init__(self, values: list[str]) -> None:
+        self.count: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        for value in values:
+            steps = [END, *map(class_of, value), END]
+            for a, b in zip(steps, steps[1:]):
+                self.count[a][b] += 1
+        self.count = {a: dict(n) for a, n in self.count.items()}
+        self.total = {a: sum(n.values()) for a, n in self.count.items()}
+
+    def per_character(self, value: str) -> float:
+        total, last, kinds = 0.0, END, len(CLASSES) + 1
+        for c in [*map(class_of, value), END]:
+            total += math.log((self.count.get(last, {}).get(c, 0) + 0.1) / (self.total.get(last, 0) + 0.1 * kinds))
+            total -= math.log(CLASSES[c]) if c != END else 0.0
+            last = c
+        return total / (len(value) + 1)
+
+
+_NAMES = """about account address after archive article author average backup before between branch build business
+chapter client code company config content count country data default design detail device digest document down
+driver early edition email engine error event example export family figure file filter final first folder format
+garden general group guide handler header history house image import index info input island item january journal
+kitchen language large layout letter level library limit line list local main manager market master member message
+method model module month mountain music name nature network notes number object office option order output owner
+package page parser part people person picture place plan point post president price product profile project public
+query question reader record region release report request result river sample school score season second section
+select server service session setting size source start state station status store stream street string student
+style summer system table target task teacher template test text theory thread title total train tree update upload
+user value version video view village volume water week window winter world writer year""".split()
+
+
+def made_non_secrets(n: int = MADE) -> list[str]:
+    """Names with numbers, dates, versions, paths and sizes, such as texts hold; the same ones every time."""
+    rnd = random.Random(20240301)
+    name, number = lambda: rnd.choice(_NAMES), lambda: str(rnd.randrange(10 ** rnd.randint(1, 4)))
+    two = lambda most: f"{rnd.randint(1, most):02d}"
+
+    def one() -> str:
+        words = [name() for _ in range(rnd.randint(1, 5))]
+        words.insert(rnd.randint(1, len(words)), number())
+        date = [str(rnd.randint(1970, 2030)), two(12), two(28)]
+        case = rnd.choice([str, str, str.title, str.upper])
+        form = rnd.randrange(10)
+        if form < 4:
+            return rnd.choice(["_", "-", "/", "="]).join(map(case, words))
+        if form == 4:
+            return words[0] + "".join(w.title() for w in words[1:])
+        if form == 5:
+            return "".join(words) if rnd.random() < 0.5 else "".join(w.title() if rnd.random() < 0.8 else w.upper() for w in words)
+        if form == 6:
+            return rnd.choice(["-", "_", "/"]).join([*date, *words[:2]] if rnd.random() < 0.5 else [*words[:2], *date])
+        if form == 7:
+            return f"{'-'.join(date)}T{two(23)}{rnd.choice(['', '-'])}{two(59)}{rnd.choice(['', 'Z', '+0100'])}"
+        if form == 8:
+            return f"{case(name())}{rnd.choice('-_')}v{number()}{rnd.choice('-_')}{number()}{rnd.choice(['', '-beta', '_rc1', '-final2'])}"
+        return f"{name()}={number()}/{name()}={number()}" if rnd.random() < 0.5 else f"{case(name())[:3]}_{''.join(date)}_{two(23)}{two(59)}{two(59)}"
+
+    out: set[str] = set()
+    while len(out) < n:
+        if len(value := one()) >= 12:
+            out.add(value)
+    return sorted(out, key=lambda v: hashlib.md5(v.encode()).digest())
+
+
+def _parted(values: list[str]) -> tuple[list[str], list[str]]:
+    """Four fifths to fit on, at least one, and the rest to set limits on."""
+    values = sorted(set(values), key=lambda v: hashlib.md5(v.encode()).digest())
+    at = max(1, 4 * len(values) // 5)
+    return values[:at], values[at:]
+
+
 class Formats:
-    """An automaton for each labelled kind, one for the background, and the threshold between them."""
+    """An automaton and a limit for each labelled kind, and the background."""
+
+    threshold = 0.0  # `score` is what lies above a format's own limit
 
-    def __init__(self, labelled: dict[str, list[str]], background: list[str], margin: float = MARGIN) -> None:
-        self.formats = {}
-        held: list[str] = []
+    def __init__(self, labelled: dict[str, list[str]], background: list[str]) -> None:
+        self.formats, held = {}, {}
         for kind, values in sorted(labelled.items()):
-            values = sorted(set(values), key=lambda v: hashlib.md5(v.encode()).digest())
-            train = values[: max(1, 4 * len(values) // 5)]
-            held += values[len(train) :]
-            if train:
+            train, held[kind] = _parted(values)
+            # without values to set a limit on nothing can be selected
+            if held[kind]:
                 self.formats[kind] = Automaton(train)
-        self.background = Automaton(background) if background else None
-        scores = sorted(self.score(v) for v in held)
-        # nineteen of twenty unseen labelled values pass, and none without the margin
-        self.threshold = max(margin, scores[len(scores) // 20]) if scores else math.inf
+        fit, rest = _parted(made_non_secrets())
+        self.background = [Automaton(fit), Pairs(fit)]
+        self._limit(held, rest)
+        # what resembles a format, if not enough to be selected, may be a secret and must not teach the background
+        clean, more = _parted([v for v in background if not any(self._above(k, v) > least for k, least in self.doubt.items())])
+        if clean:
+            self.background += [Automaton(clean), Pairs(clean)]
+            self._limit(held, rest + more)
+
+    def _limit(self, held: dict[str, list[str]], others: list[str]) -> None:
+        self.limits, self.doubt = {}, {}
+        for kind in self.formats:
+            scores = sorted(self._above(kind, v) for v in held[kind])
+            most = max(self._above(kind, v) for v in others)
+            least = scores[len(scores) // 20]
+            # midway if nineteen of twenty labelled values lie above all non-secrets, else above the latter
+            self.limits[kind] = (least + most) / 2 if least > most else math.nextafter(most, math.inf)
+            self.doubt[kind] = min(least, most)
+
+    def _above(self, kind: str, value: str) -> float:
+        return self.formats[kind].per_character(value) - max(b.per_character(value) for b in self.background)
 
     def score(self, value: str) -> float:
+        """Nats a character above the background, less the limit of the format for which that is most."""
         if not self.formats:
             return -math.inf
-        # with no background, a character is any of the 67 a candidate can have
-        plain = self.background.per_character(value) if self.background else -math.log(67)
-        return max(a.per_character(value) for a in self.formats.values()) - max(plain, -math.log(67))
+        plain = max(b.per_character(value) for b in self.background)
+        return max(a.per_character(value) - plain - self.limits[k] for k, a in self.formats.items())
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:

@@ -70,3 +70,16 @@ def test_candidates_overlap_no_base_span_in_texts_of_any_length():
         assert secrets.candidates(text, taken) == [x for x in plain if not any(s < x[1] and x[0] < e for _, s, e, _ in taken)]
     dense = "abcdef0123456789 Abc-12345678901 " * 50_000
     assert len(secrets.candidates(dense, secrets.base_spans(dense))) == 50_000
+
+
+def test_scan_adds_unlabelled_secrets_of_labelled_formats(spark):
+    rnd = random.Random(5)
+    drawn = lambda n, of: "".join(rnd.choice(of) for _ in range(n))
+    full = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    names = [f"{a}_{i}_of_the_{b}" for i, (a, b) in enumerate([("section", "text"), ("chapter", "book"), ("house", "year")] * 20)]
+    for key in (lambda: drawn(32, full), lambda: "ghp_" + drawn(36, full), lambda: "sk_" + drawn(15, "0123456789abcdef")):
+        bare = {k for k in (key() for _ in range(200)) if re.search("[0-9]", k) and re.search("[A-Za-z]", k)}
+        texts = [f"the password={key()} is set" for _ in range(240)] + [f"the word {k} stands alone" for k in sorted(bare)] + [f"see {n} there" for n in names]
+        df = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)
+        learned = {x.value for r in secrets.scan(df).collect() for x in r.learned}
+        assert len(bare & learned) >= 0.85 * len(bare) and not learned - bare
