@@ -1,10 +1,11 @@
-"""Hierarchical multi-length packing into windows of 2048 tokens.
-
-A document's ids (with an end id) are cut into whole windows and one rest.  The rest goes to the tier of
-its size: up to 256, 512, 1024 or 2048.  Each window is opened by a piece of the longest tier
-that has any; its gap takes the longest pieces of the same or shorter tiers that fit, and last a piece
-cut off a longer rest, so that windows are full.  What remains of a partition is laid out in sequences
-of falling powers of two, which need no padding.  Sequences of a round are dealt to step groups in
+"""Hierarchical multi-length packing into windows of 256, 512, 1024 and 2048 tokens.
+
+A document's ids (with an end id) are cut into whole windows of 2048 and one rest.  The rest goes to the tier
+of its size: up to 256, 512, 1024 or 2048.  Each tier is packed into windows of its own size, the longest tier
+first.  A window is opened by the longest piece of its tier; its gap takes the longest pieces of the same or
+shorter tiers that fit, and last a piece cut off a longer one of these tiers, so that windows are full.  A tier
+whose pieces and all shorter ones fill no window waits for the next round.  What remains of a partition is
+laid out in sequences of falling powers of two, which need no padding.  Sequences of a round are dealt to step groups in
 serpentine order of their attention cost (the sum of squared piece lengths).
 
 Packing is map-only: a task packs the rows it reads, in rounds of bounded size, so nothing is shuffled and
@@ -121,35 +122,55 @@ class Pool:
 
     def __init__(self) -> None:
         self.tiers: list[list[tuple[int, int, _Piece]]] = [[] for _ in TIERS]
-        self.tokens = self.made = 0
+        self.held = [0] * len(TIERS)  # tokens of each tier
+        self.made = 0
+
+    @property
+    def tokens(self) -> int:
+        return sum(self.held)
 
     def add(self, piece: _Piece) -> None:
         self.made += 1
-        self.tokens += piece.length
-        bisect.insort(self.tiers[bisect.bisect_left(TIERS, piece.length)], (piece.length, -self.made, piece))
+        tier = bisect.bisect_left(TIERS, piece.length)
+        self.held[tier] += piece.length
+        bisect.insort(self.tiers[tier], (piece.length, -self.made, piece))
+
+    def _pop(self, tier: int, at: int) -> _Piece:
+        n, _, piece = self.tiers[tier].pop(at)
+        self.held[tier] -= n
+        return piece
 
     def take(self, most: int) -> _Piece | None:
         """The longest piece of at most ``most`` tokens, the first come of equals; longer tiers are searched first."""
-        for tier in reversed(self.tiers):
-            at = bisect.bisect_left(tier, (most + 1, -1 << 62))
+        for tier in reversed(range(len(TIERS))):
+            at = bisect.bisect_left(self.tiers[tier], (most + 1, -1 << 62))
             if at:
-                n, _, piece = tier.pop(at - 1)
-                self.tokens -= n
-                return piece
+                return self._pop(tier, at - 1)
         return None
 
-    def cut(self, n: int) -> _Piece | None:
-        """``n`` tokens off the shortest piece that is longer."""
-        for tier in self.tiers:
-            at = bisect.bisect_left(tier, (n + 1, -1 << 62))
-            if at < len(tier):
-                _, _, piece = tier.pop(at)
-                self.tokens -= piece.length
-                head, tail = piece.cut(n)
+    def cut(self, n: int, last: int = len(TIERS) - 1) -> _Piece | None:
+        """``n`` tokens off the shortest piece of the tiers up to ``last`` that is longer."""
+        for tier in range(last + 1):
+            at = bisect.bisect_left(self.tiers[tier], (n + 1, -1 << 62))
+            if at < len(self.tiers[tier]):
+                head, tail = self._pop(tier, at).cut(n)
                 self.add(tail)
                 return head
         return None
 
+    def windows(self, tier: int) -> list[list[_Piece]]:
+        """Full windows of a tier's size, each opened by a piece of the tier; only it and shorter tiers are used."""
+        made, size = [], TIERS[tier]
+        while self.tiers[tier] and sum(self.held[: tier + 1]) >= size:
+            out = [self._pop(tier, len(self.tiers[tier]) - 1)]
+            gap = size - out[0].length
+            while gap:
+                piece = self.take(gap) or self.cut(gap, tier)
+                out.append(piece)
+                gap -= piece.length
+            made.append(out)
+        return made
+
     def sequence(self, size: int) -> list[_Piece]:
         """A full sequence of ``size`` tokens; there must be as many."""
         out: list[_Piece] = []
@@ -178,6 +199,10 @@ def pack_stream(docs, window: int = WINDOW, round_tokens: int = ROUND):
     pool, group = Pool(), 0
     ready: list[tuple[int, list[_Piece]]] = []
 
+    def fill():
+        for tier in reversed(range(len(TIERS))):
+            ready.extend((TIERS[tier], pieces) for pieces in pool.windows(tier))
+
     def flush():
         nonlocal ready, group
         out = []
@@ -198,12 +223,10 @@ def pack_stream(docs, window: int = WINDOW, round_tokens: int = ROUND):
             pool.add(_Piece(doc, whole, ids[4 * whole :], total))
         pending += total
         if pending >= round_tokens:
-            while pool.tokens >= window:
-                ready.append((window, pool.sequence(window)))
+            fill()
             pending = 0
             yield flush()
-    while pool.tokens >= window:
-        ready.append((window, pool.sequence(window)))
+    fill()
     size = window
     while pool.tokens:
         size //= 2
@@ -222,7 +245,7 @@ _TYPES = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
 def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
-    ``tier`` is the length of the piece's sequence: 2048, or a smaller power of two at a partition's end; every
+    ``tier`` is the length of the piece's sequence: that of its tier, or a power of two at a partition's end; every
     sequence is full, so nothing is padded.  Null text counts as empty and packs its end id alone.
     Repeated rows and null ids are packed as they come.  ``with_ids`` adds the ids (array<int>).
     An empty table gives an empty result; further columns are ignored.

@@ -71,3 +71,18 @@ def test_step_groups_are_balanced():
         cost.setdefault(group, []).append(sum(p.length**2 for p in pieces))
     full = [sum(c) / len(c) for c in cost.values() if len(c) == packing.STEP]
     assert max(full) < 1.1 * min(full)
+
+
+def test_each_tier_has_windows_of_its_own_size():
+    rnd = random.Random(9)
+    docs = [(i, b"\2\0\0\0" * rnd.choice([*(rnd.randint(1, 256) for _ in range(6)), rnd.randint(257, 512), rnd.randint(513, 1024), rnd.randint(1025, 2048)])) for i in range(3000)]
+    made = [x for part in packing.pack_stream(docs, round_tokens=1 << 18) for x in part]
+    assert sum(p.length for _, _, pieces in made for p in pieces) == sum(len(ids) // 4 for _, ids in docs)
+    for size in packing.TIERS:
+        own = [pieces for _, tier, pieces in made if tier == size]
+        # the partition's end adds a sequence of each size at most; all others are opened by a piece of the tier
+        assert len(own) > 20 and all(sum(p.length for p in pieces) == size for pieces in own)
+        assert sum(size > 256 and pieces[0].length <= size // 2 for pieces in own) <= 1
+        assert all(p.start + p.length <= p.total and (p.total <= size or p.length < p.total) for pieces in own for p in pieces)
+    short = [(i, b"\2\0\0\0" * rnd.randint(1, 256)) for i in range(500)]
+    assert {tier for part in packing.pack_stream(short) for _, tier, _ in part if tier > 128} == {256}
