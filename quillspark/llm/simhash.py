@@ -11,6 +11,9 @@
    as every lane exceeds the radius.
 5. Groups emit only a spanning star for each local component; components are then joined by
    alternating large-star and small-star rounds, each written to the shared folder.
+
+Two bits find copies with an edit or two in a long text.  With ``similarity``, rows are also linked whose sets of
+``shingle``-word shingles have that Jaccard similarity: MinHash bands propose pairs and the sets verify each exactly.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ RADIUS = 2
 SHINGLE = 3
 GROUP_LIMIT = 4096
 SEED = 42
+MINIMA = 100  # of a row's shingle hashes, dealt to bands
+MISS = 1e-5  # chance at most that a pair just at the similarity shares no band
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -68,6 +73,95 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_texts(narrow(docs, "doc_id", "text"), make, "doc_id long, fp long")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's ``shingle``-word shingles; one of all words if there are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = [e + i for i, e in enumerate(itertools.accumulate(map(len, words)))]
+    starts = [0] + [e + 1 for e in ends[:-1]]
+    last = ends[min(shingle, len(words)) - 1 :]
+    return np.unique(np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, last)), "<u8", len(last)))
+
+
+_FACTORS = np.random.default_rng(20240302).integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands_of(hashes: np.ndarray, rows: int) -> list[int]:
+    """Signed keys of the bands of ``rows`` minima each."""
+    low = np.full(MINIMA, _ALL)
+    for at in range(0, len(hashes), 1 << 14):
+        mixed = hashes[at : at + (1 << 14)] * _FACTORS[:, None]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+        low = np.minimum(low, mixed.min(axis=1))
+    keys = [xxhash.xxh64_intdigest(low[at : at + rows].tobytes(), at) for at in range(0, MINIMA, rows)]
+    return np.array(keys, "u8").view("i8").tolist()
+
+
+def band_rows(similarity: float) -> int:
+    """The most minima a band with which a pair just at ``similarity`` is missed with chance ``MISS`` at most; one at least."""
+    fit = [r for r in (2, 4, 5, 10, 20) if (1 - similarity**r) ** (MINIMA // r) <= MISS]
+    return max(fit, default=1)
+
+
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def similar_links(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(u, v): fingerprints of rows whose shingle sets have ``similarity`` at least, enough to connect all such rows.
+
+    Rows with equal sets are one.  In a band a row is compared until it is linked to each component there, so near
+    copies of one text cost a comparison each; a band of very many dissimilar rows costs all their pairs.
+    """
+    rows = band_rows(similarity)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(0).to_pylist()
+            sets = [shingle_set(t, shingle) for t in texts]
+            fps = np.array([fingerprint_of(t) for t in texts], "u8").view("i8")
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            bands = [bands_of(x, rows) if len(x) else [] for x in sets]
+            cols = [pa.array(fps), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*cols, pa.array([x.view("i8") for x in sets], pa.list_(pa.int64()))], ["fp", "key", "bands", "hashes"])
+
+        return step
+
+    def compare(batches):
+        band, parts = None, []
+        for batch in batches:
+            out = set()
+            for b, fp, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if b != band:
+                    band, parts = b, []
+                own = hashes.values.to_numpy(zero_copy_only=False).view("u8").copy()
+                joined, apart = [(fp, own)], []
+                for part in parts:
+                    hit = next((other for other, x in part if _similar(own, x, similarity)), None)
+                    if hit is None:
+                        apart.append(part)
+                    else:
+                        joined = part + joined
+                        out.add((fp, hit))
+                parts = [*apart, joined]
+            out = [x for x in out if x[0] != x[1]]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
+
+    sets = stored(map_texts(narrow(docs, "text"), make, "fp long, key binary, bands array<long>, hashes array<long>"), "sets")
+    dealt = sets.select("fp", "key", "bands").dropDuplicates(["fp", "key"]).select("fp", "key", F.explode("bands").alias("band"))
+    shared = stored(dealt.join(dealt.groupBy("band").count().where("count > 1").select("band"), "band"), "bands")
+    wanted = shared.select("fp", "key").distinct()
+    whole = sets.select("fp", "key", "hashes").join(wanted, ["fp", "key"], "left_semi").dropDuplicates(["fp", "key"])
+    members = shared.join(whole, ["fp", "key"]).select("band", "fp", "hashes")
+    return members.repartition("band").sortWithinPartitions("band").mapInArrow(compare, "u long, v long")
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Bit planes of fingerprints (a multiple of 64 of them): row w, column b holds bit b of lanes 64w..64w+63."""
     lanes = np.ascontiguousarray(fps, "<u8").view(np.uint8).reshape(-1, 64, 8)
@@ -259,17 +353,21 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicate_groups(docs: DataFrame) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``.
 
-    component_id is the smallest doc_id that can be reached over links of at most two bits.  Null or
+    component_id is the smallest doc_id that can be reached over links of at most two bits, and with ``similarity``
+    also over links of that Jaccard similarity of ``shingle``-word shingles at least.  Null or
     blank text has fingerprint zero and is linked like any other.  Repeated rows are returned as often
     as they come.  A row without doc_id gets its group's smallest id, null if no row there has one.
     An empty table gives an empty result; further columns are ignored.
     """
     fps = stored(fingerprints(docs), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    found = components(links(distinct.select("fp")))
+    edges = links(distinct.select("fp"))
+    if similarity is not None:
+        edges = edges.union(similar_links(docs, similarity, shingle))
+    found = components(edges)
     members = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     named = members.join(distinct, members.node == distinct.fp).select("node", "root", "first_id")
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -280,13 +378,15 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     return fps.join(named_all, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the row whose doc_id names the group.
 
+    The settings are those of ``near_duplicate_groups``.
+
     Rows that share that doc_id count as repeats and one of them stays.  Rows without a doc_id cannot
     be told apart and stay.
     """
-    groups = stored(near_duplicate_groups(docs), "groups")
+    groups = stored(near_duplicate_groups(docs, similarity, shingle), "groups")
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -104,3 +104,45 @@ def test_drop_keeps_one_row_of_each_group(spark):
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 8]
+
+
+def test_similarity_finds_near_copies_beyond_two_bits(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(30):
+        text = [word() for _ in range(rnd.randint(6, 200))]
+        rows.append((i, " ".join(text)))
+        for k in range(4):
+            copy = list(text)
+            for _ in range(k):
+                copy[rnd.randrange(len(copy))] = word()
+            rows.append((100 * (k + 1) + i, "\n".join(copy).upper()))
+    rows += [(900, None), (901, ""), (902, "two words"), (903, "Two  words"), (904, "two other"), (None, rows[0][1]), (7, rows[35][1])]
+    rnd.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    fps = [naive_fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    wide = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            near = bool(a) and len(a & b) >= 0.8 * len(a | b)
+            close = bin(fps[i] ^ fps[j]).count("1") <= 2
+            wide += near and not close
+            if near or close:
+                group[top(i)] = top(j)
+    lowest = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            lowest[top(i)] = min(lowest.get(top(i), doc), doc)
+    df = spark.createDataFrame([(d, t, None, None, 7) for d, t in rows], SCHEMA)
+    got = simhash.near_duplicate_groups(df, similarity=0.8).collect()
+    assert wide > 20 and sorted(((r.doc_id, r.component_id) for r in got), key=repr) == sorted(((d, lowest[top(i)]) for i, (d, _) in enumerate(rows)), key=repr)
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(df, similarity=0.8).collect()}
+    assert kept == {None, *lowest.values()}
