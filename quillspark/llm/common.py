@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Only the columns an operator reads, so that further columns can never clash with its own."""
     return df.select(*[F.col(n) for n in names])
