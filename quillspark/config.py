@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass
 
+# Suffixes of supported files, defaults of the settings, names of the environment variables.
 SUFFIXES = (".pdf", ".docx", ".txt", ".md", ".markdown", ".csv")
 FLAT_SUFFIXES = (".pdf", ".docx", ".txt", ".md", ".csv")
 
@@ -36,3 +37,13 @@ def api_key(given: str | None = None) -> str:
     if not key:
         raise OSError("no API key: set GEMINI_API_KEY or GOOGLE_API_KEY")
     return key
+
+
+def load_env(path: str = ".env") -> None:
+    """Variables of a file of ``NAME=value`` lines that the environment does not set itself."""
+    if os.path.isfile(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                name, found, value = line.strip().removeprefix("export ").partition("=")
+                if found and name.strip().isidentifier():
+                    os.environ.setdefault(name.strip(), value.strip().strip("'\""))

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings
@@ -16,16 +16,18 @@ from .functions import vectors as V
 from .operators import chunking, search, sync
 from .providers import Offline
 from .sources import files
-from .sources.index import Index
+from .sources.index import ORDER, Index
+from .storage import is_uri, joined
 
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str | Path, index_root: str | Path, provider=None, settings: Settings | None = None) -> None:
-        self.spark, self.folder = spark, Path(folder).resolve()
+        self.spark = spark
+        self.folder = str(folder) if is_uri(str(folder)) else Path(folder).resolve()
         self.settings = settings or Settings()
         self.provider = provider or Offline(self.settings.dim)
         # each folder has its own index, so that another folder's sync cannot empty it
-        self.index = Index(spark, Path(index_root) / hashlib.sha256(str(self.folder).encode()).hexdigest()[:16])
+        self.index = Index(spark, joined(index_root, hashlib.sha256(str(self.folder).encode()).hexdigest()[:16]))
 
     @property
     def config(self) -> str:
@@ -33,18 +35,13 @@ class Engine:
         s = self.settings
         return f"{s.chunk_size}/{s.overlap}/{self.provider.name}/{getattr(self.provider, 'dim', '')}"
 
-    def embedded(self, chunked: DataFrame, first_seq: int) -> DataFrame:
-        """Index records of (source, chunk_index, text); ids follow source, then chunk."""
+    def embedded(self, chunked: DataFrame, seq: int) -> DataFrame:
+        """Index records of (source, chunk_index, text), made by sync number ``seq``."""
         made = chunked.select(
             T.chunk_id("source", F.col("chunk_index").cast("string")).alias("id"), "text", "source", F.col("chunk_index").cast("int"),
             self.provider.embed("text").alias("embedding"),
         )
-        # the order among new records: rank of the source among the new sources, then the chunk
-        sources = chunked.groupBy("source").agg(F.count("*").alias("n"))
-        before = Window.orderBy(F.split("source", "/")).rowsBetween(Window.unboundedPreceding, -1)
-        placed = sources.select("source", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-        seq = F.col("offset") + F.col("chunk_index") + first_seq
-        return made.join(placed, "source").select("id", "text", "source", "chunk_index", "embedding", V.norm(F.col("embedding")).alias("norm"), seq.alias("seq"))
+        return made.select("*", V.norm(F.col("embedding")).alias("norm"), F.lit(seq).cast("long").alias("seq"))
 
     def sync(self, force: bool = False, say: Callable[[str], None] | None = None) -> dict:
         """Bring the index in step with the folder; returns the summary.
@@ -52,41 +49,31 @@ class Engine:
         Unchanged files are neither parsed nor embedded again.  A file that cannot be parsed is reported, keeps
         no records and is tried again by the next sync; the others are committed.
         """
-        if not self.folder.is_dir():
+        if isinstance(self.folder, Path) and not self.folder.is_dir():
             raise FileNotFoundError(f"{self.folder} is not a folder")
         found = files.discover(self.spark, self.folder)
-
-        @F.pandas_udf("string")
-        def digest(paths):
-            def of(path: str) -> str:
-                h = hashlib.sha256()
-                with open(path, "rb") as f:
-                    while part := f.read(1 << 20):
-                        h.update(part)
-                return h.hexdigest()
-
-            return paths.map(of)
-
         # a listing holds one short row a file
-        current = found.withColumn("digest", digest("path")).cache()
-        manifest, records = self.index.manifest(), self.index.records()
+        current = found.withColumn("digest", files.digest_of("path")).cache()
+        manifest = self.index.manifest()
         if force:
-            manifest, records = manifest.limit(0), records.limit(0)
+            manifest = manifest.limit(0)
         known = manifest.select("source", F.when(F.col("config") == self.config, F.col("digest")).alias("digest"))
         diff = sync.changes(current, known).cache()
         fresh = diff.where(F.col("status").isin("added", "updated")).select("source")
-        parsed = files.read(current.join(fresh, "source", "left_semi").select("path", "source", "ext")).cache()
-        first = (records.agg(F.max("seq")).first()[0] or -1) + 1
+        parsed = files.read(current.join(fresh, "source", "left_semi").select("path", "source", "ext", "digest")).cache()
         s = self.settings
-        new = self.embedded(chunking.chunks(parsed.where("error is null"), s.chunk_size, s.overlap), first)
+        new = self.embedded(chunking.chunks(parsed.where("error is null"), s.chunk_size, s.overlap), self.index.next_seq())
         failed = parsed.where("error is not null").select("source", "error")
-        good = current.join(failed, "source", "left_anti").select("source", "digest").withColumn("config", F.lit(self.config))
-        self.index.commit(sync.retained(records, diff).select(new.columns).unionByName(new), good)
-        stored = self.index.records()
-        out = sync.summary(diff, stored).first().asDict()
+        good = parsed.where("error is null").select("source", "digest").withColumn("config", F.lit(self.config))
+        if force:
+            self.index.commit(new, good)
+        else:
+            gone = diff.where("status = 'removed'").select("source").unionByName(failed.select("source"))
+            self.index.append(new, good, gone)
+        stored = self.index.manifest()
+        out = sync.summary(diff, stored.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]).first().asDict()
         if say:
-            per = stored.groupBy("source").agg(F.count("*").alias("n_chunks"))
-            for r in sync.log_lines(diff, per).orderBy("source").toLocalIterator():
+            for r in sync.log_lines(diff, stored.select("source", "n_chunks")).orderBy("source").toLocalIterator():
                 say(r.line)
             for r in failed.toLocalIterator():
                 say(f"[sync] Warning: failed to process '{r.source}': {r.error}")
@@ -102,9 +89,9 @@ class Engine:
         """
         s = self.settings
         asked = questions.select("qid", self.provider.embed("question", "RETRIEVAL_QUERY").alias("query"))
-        hits = search.batch_top(self.index.records().select("seq", "embedding", "norm"), asked, s.top_k, s.min_score)
-        texts = self.index.records().select("seq", "source", "chunk_index", "text")
-        return texts.join(hits, "seq").select("qid", "rank", "score", "source", "chunk_index", "text")
+        hits = search.batch_top(self.index.records().select("id", *ORDER, "embedding", "norm"), asked, s.top_k, s.min_score, order=ORDER)
+        texts = self.index.records().select("id", "source", "text")
+        return texts.join(hits, "id").select("qid", "rank", "score", "source", "chunk_index", "text")
 
     def answers(self, questions: DataFrame) -> DataFrame:
         """(qid, answer, sources) of every question."""
@@ -142,15 +129,10 @@ def answered(questions: DataFrame, hits: DataFrame, provider) -> DataFrame:
     return said.unionByName(asked.where("context is null").select("qid", F.lit(P.NOT_FOUND).alias("answer"), none.alias("sources")))
 
 
-FLAT_TEMPLATE = """You are a Knowledge Base Assistant. Answer only from the context.
-If it does not hold the answer, respond exactly with: "I don't have enough information in the Knowledge Base to answer that."
-
-Context:
-{context}
-
-Question: {question}
-
-Answer:"""
+FLAT_TEMPLATE = (
+    "Passages from the Knowledge Base:\n\n{context}\n\nReply to this from the passages and nothing else: {question}\n"
+    f"Where they leave it open, the reply is this sentence alone: {P.NOT_FOUND_FLAT}"
+)
 
 
 class FlatEngine:
@@ -159,7 +141,7 @@ class FlatEngine:
     def __init__(self, spark: SparkSession, folder: str | Path, index_dir: str | Path, provider=None, settings: Settings | None = None) -> None:
         from .config import flat_settings
 
-        self.spark, self.folder, self.index = spark, Path(folder), Index(spark, index_dir)
+        self.spark, self.folder, self.index = spark, str(folder), Index(spark, index_dir)
         self.settings = settings or flat_settings()
         self.provider = provider or Offline(self.settings.dim)
 
@@ -169,16 +151,27 @@ class FlatEngine:
         named = read.withColumn("source_file", T.base_name("path"))
         return named.where("error is null"), named.where("error is not null")
 
-    def build(self) -> int:
-        """Rebuild the index from nothing; returns its number of chunks."""
-        loaded, _ = self.load()
+    def build(self, say: Callable[[str], None] | None = None) -> int:
+        """Rebuild the index from nothing; returns its number of chunks.  Files that fail are told and left out."""
+        loaded, skipped = self.load()
+        loaded, skipped = loaded.cache(), skipped.select("source_file", "error").cache()
+        if say:
+            for r in skipped.toLocalIterator():
+                say(f"[flat] Skipped '{r.source_file}': {r.error}")
+            if loaded.isEmpty():
+                say(f"[flat] Nothing to load in '{self.folder}': add PDF, DOCX, TXT, MD or CSV files and run again.")
         cut = chunking.recursive_chunks(loaded.withColumn("source", F.col("source_file")), self.settings.chunk_size, self.settings.overlap)
         made = cut.select(
             F.expr("uuid()").alias("id"), "text", "source", F.col("chunk_index").cast("int"), self.provider.embed("text").alias("embedding"),
             F.lit(None).cast("double").alias("norm"), F.xxhash64("source", "chunk_index").alias("seq"),
         )
         self.index.commit(made, loaded.select(F.col("source_file").alias("source"), F.lit(None).cast("string").alias("digest"), F.lit("flat").alias("config")))
-        return self.index.records().count()
+        n = self.index.manifest().agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
+        loaded.unpersist()
+        skipped.unpersist()
+        if say:
+            say(f"[flat] Indexed {n} chunk(s).")
+        return n
 
     def answer(self, question: str) -> tuple[str, list[str]]:
         row = self.spark.createDataFrame([(question,)], "question string").select(self.provider.embed("question").alias("q")).first()

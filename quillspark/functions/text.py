@@ -70,6 +70,11 @@ def suffix(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
 
 
+def place(path: Column | str) -> Column:
+    """A text whose order is the component-wise order of paths."""
+    return F.translate(path, "/", "\x01")
+
+
 def base_name(path: Column | str) -> Column:
     return F.regexp_extract(path, r"[^/]+$", 0)
 

@@ -16,10 +16,14 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
 
+def _products(a: Column, b: Column) -> Column:
+    return _sum(F.zip_with(a, b, lambda x, y: x * y))
+
+
 def dot(a: Column, b: Column) -> Column:
-    """Sum of products over the shorter length."""
+    """Sum of products over the shorter length; vectors of one length are not copied."""
     n = F.least(F.size(a), F.size(b))
-    return _sum(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x * y))
+    return F.when(F.size(a) == F.size(b), _products(a, b)).otherwise(_products(F.slice(a, 1, n), F.slice(b, 1, n)))
 
 
 def norm(a: Column) -> Column:
@@ -39,13 +43,21 @@ def squared_distance(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hashed_embedding(text: Column | str, dim: int) -> Column:
-    """Counts of the text's tokens in ``dim`` buckets: the offline embedder."""
+    """Counts of the text's tokens in ``dim`` buckets: the offline embedder.
+
+    Every bucket's number is added once, so that in sorted order each begins a run; a run's length less one is the count.
+    """
     buckets = F.transform(tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim)
-    # bound once, so tokens are hashed once and not once a bucket
-    return F.get(
-        F.transform(
-            F.array(buckets), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(bs, lambda b: b == i)).cast("double"))
-        ),
-        F.lit(0),
-    )
+    runs = F.sort_array(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))))
+
+    def counts(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return _bound(starts, lambda at: F.transform(at, lambda x, i: (F.coalesce(F.get(at, i + 1), F.size(s)) - x - 1).cast("double")))
+
+    return _bound(runs, counts)

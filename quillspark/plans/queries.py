@@ -295,15 +295,14 @@ qs AS (SELECT item_id AS qid, text AS question FROM benchmark),
 ce AS (SELECT doc_id, chunk_index, text, {_embed_sql('text')} AS e FROM chunks),
 qe AS (SELECT qid, {_embed_sql('question')} AS e FROM qs),
 sc AS (SELECT qid, doc_id, chunk_index, round(CASE WHEN list_sum(c.e) = 0 OR list_sum(q.e) = 0 THEN 0.0 ELSE list_cosine_similarity(c.e, q.e) END, 6) AS score FROM ce c, qe q),
-hits AS (SELECT qid, doc_id, chunk_index, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id * 100000 + chunk_index))::int AS rank FROM sc WHERE score >= 0.7
-  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id * 100000 + chunk_index) <= 5)"""
+hits AS (SELECT qid, doc_id, chunk_index, score, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index))::int AS rank FROM sc WHERE score >= 0.7
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, chunk_index) <= 5)"""
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = doc_chunks(spark, sf_dir).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("seq"), Offline(DIM).embed("text").alias("embedding"))
+    own = doc_chunks(spark, sf_dir).select("doc_id", "chunk_index", Offline(DIM).embed("text").alias("embedding"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), Offline(DIM).embed("text").alias("query"))
-    found = search.batch_top(own, asked, 5, 0.7, digits=6)
-    return found.select("qid", F.floor(F.col("seq") / 100000).alias("doc_id"), (F.col("seq") % 100000).cast("int").alias("chunk_index"), "score", "rank")
+    return search.batch_top(own, asked, 5, 0.7, order=("doc_id", "chunk_index"), digits=6).select("qid", "doc_id", "chunk_index", "score", "rank")
 
 
 @query(f"WITH {chunk_sql()}, {_RETRIEVE_SQL} SELECT * FROM hits")

@@ -1,13 +1,15 @@
 """File discovery and parsing.
 
-Discovery lists paths on the driver (a built-in file source leaves out empty files and names that begin with
-``_`` or ``.``); contents are read by path in the executors, so the folder must be visible to them.  One
-Arrow batch holds few files, whatever their size.
+Folders are listed by the executors, a level of the tree at a time (a built-in file source leaves out empty files and
+names that begin with ``_`` or ``.``), and contents are read by path there, so the folder must be visible to them: a
+local folder that all share, or a URI of a store that pyarrow reads.  One Arrow batch holds few files, whatever their
+size.
 """
 
 from __future__ import annotations
 
 import csv
+import hashlib
 import io
 import os
 import re
@@ -17,38 +19,74 @@ from pathlib import Path
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FLAT_SUFFIXES, SUFFIXES
 from ..functions.text import suffix
+from ..storage import is_uri, joined
 
-FILES = "path string, source string, size long"
+ENTRIES = "path string, source string, size long, folder boolean"
+BATCH = 64  # files or folders that a task handles at once
 
 
-def listed(folder: str | Path, recursive: bool = True) -> list[tuple[str, str, int]]:
-    """(path, source, size) of all files; nothing for a missing folder; links to folders are not followed."""
-    root, out = str(folder), []
-    for top, folders, names in os.walk(root):
-        if not recursive:
-            folders.clear()
-        for name in names:
-            path = os.path.join(top, name)
-            if os.path.isfile(path):
-                out.append((path, os.path.relpath(path, root), os.path.getsize(path)))
-    return out
+def children(path: str) -> list[tuple[str, int, bool]]:
+    """(name, size, is a folder) of what lies in a folder; nothing for a missing one; links to folders are not followed."""
+    if not is_uri(path):
+        try:
+            with os.scandir(path) as found:
+                return [(e.name, 0 if d else e.stat().st_size, d) for e in found if (d := e.is_dir(follow_symlinks=False)) or e.is_file()]
+        except (FileNotFoundError, NotADirectoryError):
+            return []
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
+    return [(e.base_name, e.size or 0, e.type == fs.FileType.Directory) for e in found if e.type in (fs.FileType.File, fs.FileType.Directory)]
+
+
+def opened(path: str):
+    """A binary stream of a file."""
+    if not is_uri(path):
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inner)
+
+
+def _below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for top, prefix in zip(batch["path"], batch["source"]):
+            rows = [(joined(top, n), f"{prefix}{n}", size, folder) for n, size, folder in children(top)]
+            yield pd.DataFrame(rows, columns=["path", "source", "size", "folder"])
+
+
+def listed(spark: SparkSession, folder: str | Path, recursive: bool = True) -> DataFrame:
+    """(path, source, size) of all files; source is the path within the folder."""
+    level = spark.createDataFrame([(str(folder), "")], "path string, source string")
+    out, wide = None, spark.sparkContext.defaultParallelism
+    while True:
+        # a level holds one short row a file or folder and is listed once
+        found = level.mapInPandas(_below, ENTRIES).cache()
+        files = found.where("not folder").select("path", "source", "size")
+        out = files if out is None else out.unionByName(files)
+        deeper = found.where("folder").select("path", F.concat("source", F.lit("/")).alias("source"))
+        if not recursive or deeper.isEmpty():
+            return out
+        level = deeper.repartition(wide)
 
 
 def discover(spark: SparkSession, folder: str | Path, recursive: bool = True, suffixes: tuple[str, ...] | None = None) -> DataFrame:
     """Supported files with their suffix, in component-wise order of the path."""
-    files = spark.createDataFrame(listed(folder, recursive), FILES).withColumn("ext", suffix("source"))
+    files = listed(spark, folder, recursive).withColumn("ext", suffix("source"))
     wanted = suffixes or (SUFFIXES if recursive else FLAT_SUFFIXES)
     return files.where(F.col("ext").isin(*wanted)).orderBy(F.split("source", "/"))
 
 
 def tree(spark: SparkSession, folder: str | Path) -> DataFrame:
     """All files with their depth, indented for display."""
-    files = spark.createDataFrame(listed(folder), FILES).withColumn("depth", F.size(F.split("source", "/")) - 1)
+    files = listed(spark, folder).withColumn("depth", F.size(F.split("source", "/")) - 1)
     name = F.element_at(F.split("source", "/"), -1)
     return files.select("source", "depth", F.concat(F.repeat(F.lit("    "), F.col("depth") + 1), name).alias("line")).orderBy(F.split("source", "/"))
 
@@ -114,6 +152,10 @@ READERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
+# which reader a suffix goes to, by the reader's name
+READER_NAMES = {ext: reader.__name__.removesuffix("_text").replace("text_of", "text") for ext, reader in READERS.items()}
+
+
 def parse(ext: str, data: bytes) -> str:
     reader = READERS.get(ext.lower())
     if reader is None:
@@ -124,14 +166,13 @@ def parse(ext: str, data: bytes) -> str:
 def read(files: DataFrame) -> DataFrame:
     """``files`` with text and error; exactly one of them is null.  A file that fails does not stop the others."""
     names = files.columns
-    files.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[at : at + BATCH] for whole in batches for at in range(0, len(whole), BATCH)):
             texts, errors = [], []
             for path, ext in zip(batch["path"], batch["ext"]):
                 try:
-                    with open(path, "rb") as f:
+                    with opened(path) as f:
                         texts.append(parse(ext, f.read()))
                     errors.append(None)
                 except Exception as e:  # reported in the result
@@ -157,3 +198,20 @@ def parse_binary(files: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["text", "error"])
 
     return files.withColumn("p", parsed("ext", "content")).select(*[c for c in files.columns if c != "content"], "p.text", "p.error")
+
+
+def digest_of(path: Column | str) -> Column:
+    """SHA-256 of a file's bytes, read in parts."""
+
+    @F.pandas_udf("string")
+    def run(paths: pd.Series) -> pd.Series:
+        def of(path: str) -> str:
+            h = hashlib.sha256()
+            with opened(path) as f:
+                while part := f.read(1 << 20):
+                    h.update(part)
+            return h.hexdigest()
+
+        return paths.map(of)
+
+    return run(path)

@@ -1,90 +1,131 @@
-"""The stored index: versioned Parquet snapshots behind a pointer file.
+"""The stored index: Parquet parts and snapshots of the manifest behind a pointer file.
 
-A commit writes a new version folder and then replaces the pointer in one rename, so readers see the old
-index or the new one, and a sync that fails changes nothing.  A written version is never overwritten.
+A version adds the records of new and changed sources as one part and writes the manifest, which names for each
+source the part that holds its records; records of other parts or sources are dead.  When ``PARTS`` are in use the
+next version is written whole.  The pointer is replaced in one rename, so readers see the old index or the new one,
+and a sync that fails changes nothing.  A written version is never overwritten.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import place
+from ..storage import Store, joined
+
 RECORDS = "id string, text string, source string, chunk_index int, embedding array<double>, norm double, seq long"
-MANIFEST = "source string, digest string, config string"
+MANIFEST = "source string, digest string, config string, part string, n_chunks long"
+GIVEN = ("source", "digest", "config")  # columns of a manifest that is to be committed
 EXPORTED = "records array<struct<id: string, text: string, source: string, chunk_index: int, embedding: array<double>>>, file_hashes map<string, string>"
+ORDER = ("seq", "place", "chunk_index")  # of records: by sync, then by path, then within a source
+PARTS = 8
 
 
 class Index:
     def __init__(self, spark: SparkSession, folder: str | Path) -> None:
-        self.spark, self.folder = spark, Path(folder)
+        self.spark, self.folder = spark, str(folder)
+        self._store = Store(spark, self.folder)
 
-    @property
-    def _pointer(self) -> Path:
-        return self.folder / "CURRENT"
+    def _pointer(self) -> dict:
+        text = self._store.read_text("CURRENT")
+        return json.loads(text) if text else {"version": None, "parts": [], "whole": True, "seq": -1}
 
     def version(self) -> str | None:
-        return self._pointer.read_text().strip() if self._pointer.exists() else None
+        return self._pointer()["version"]
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        version = self.version()
-        if version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(str(self.folder / version / name))
+    def next_seq(self) -> int:
+        """The number of the next sync: records of a later one come after those of all earlier ones."""
+        return self._pointer()["seq"] + 1
 
-    def records(self) -> DataFrame:
-        return self._table("records", RECORDS)
+    def _path(self, version: str, name: str) -> str:
+        return joined(self.folder, version, name)
 
     def manifest(self) -> DataFrame:
-        return self._table("manifest", MANIFEST)
+        version = self.version()
+        return self.spark.createDataFrame([], MANIFEST) if version is None else self.spark.read.schema(MANIFEST).parquet(self._path(version, "manifest"))
+
+    def records(self) -> DataFrame:
+        """Live records, with the columns of ``RECORDS`` and ``place``, the text by which paths are ordered."""
+        at = self._pointer()
+        out = None
+        for part in at["parts"]:
+            one = self.spark.read.schema(RECORDS).parquet(self._path(part, "records")).withColumn("part", F.lit(part))
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            out = self.spark.createDataFrame([], RECORDS)
+        elif not at["whole"]:
+            out = out.join(self.manifest().select("source", "part"), ["source", "part"], "left_semi")
+        return out.select(*[x.split()[0] for x in RECORDS.split(", ")], place("source").alias("place"))
 
     def is_empty(self) -> bool:
-        return self.version() is None or self.records().isEmpty()
+        return self.manifest().where("n_chunks > 0").isEmpty()
 
     def commit(self, records: DataFrame, manifest: DataFrame) -> str:
-        """Write both tables as a new version and point to it."""
+        """Write both tables as a new version that replaces all others, and point to it."""
+        return self._write(records, manifest, None, [])
+
+    def append(self, records: DataFrame, fresh: DataFrame, gone: DataFrame) -> str:
+        """A new version in which the sources of ``fresh`` (source, digest, config) have ``records`` alone, and those of ``gone`` none."""
+        at = self._pointer()
+        dropped = fresh.select("source").unionByName(gone.select("source"))
+        old = self.manifest().join(dropped, "source", "left_anti")
+        if len(at["parts"]) >= PARTS:
+            names = [x.split()[0] for x in RECORDS.split(", ")]
+            kept = self.records().join(old.select("source"), "source", "left_semi")
+            return self._write(kept.select(names).unionByName(records.select(names)), old.select(*GIVEN).unionByName(fresh.select(*GIVEN)), None, [])
+        return self._write(records, fresh, old, at["parts"])
+
+    def _write(self, records: DataFrame, manifest: DataFrame, old: DataFrame | None, parts: list[str]) -> str:
         version = f"v-{uuid.uuid4().hex}"
-        target = self.folder / version
         try:
-            records.write.parquet(str(target / "records"))
-            manifest.write.parquet(str(target / "manifest"))
+            records.select([x.split()[0] for x in RECORDS.split(", ")]).write.parquet(self._path(version, "records"))
+            counts = self.spark.read.schema(RECORDS).parquet(self._path(version, "records")).groupBy("source").agg(F.count("*").alias("n_chunks"))
+            own = manifest.select(*GIVEN).join(counts, "source", "left").select(*GIVEN, F.lit(version).alias("part"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+            (own if old is None else old.select(own.columns).unionByName(own)).write.parquet(self._path(version, "manifest"))
         except Exception:
-            shutil.rmtree(target, ignore_errors=True)
+            self._store.delete(version)
             raise
-        fresh = self.folder / f".{version}"
-        fresh.write_text(version)
-        os.replace(fresh, self._pointer)
+        # at most PARTS names
+        used = {r.part for r in self.spark.read.schema(MANIFEST).parquet(self._path(version, "manifest")).where("n_chunks > 0").select("part").distinct().collect()}
+        # all records of the newest part are live
+        pointer = {"version": version, "parts": [p for p in [*parts, version] if p in used], "whole": used <= {version}, "seq": self.next_seq()}
+        self._store.replace_text("CURRENT", json.dumps(pointer), f".{version}")
         return version
 
     def clear(self) -> None:
         self.commit(self.spark.createDataFrame([], RECORDS), self.spark.createDataFrame([], MANIFEST))
 
     def vacuum(self) -> int:
-        """Delete versions that the pointer does not name; only when no reader uses them."""
-        old = [p for p in self.folder.glob("v-*") if p.name != self.version()]
-        for p in old:
-            shutil.rmtree(p)
+        """Delete versions that the pointer does not need; only when no reader uses them."""
+        at = self._pointer()
+        old = [n for n in self._store.folders() if n.startswith("v-") and n not in (at["version"], *at["parts"])]
+        for name in old:
+            self._store.delete(name)
         return len(old)
 
     def export_json(self, path: str | Path) -> None:
         """One JSON document with records and file hashes, streamed from the executors row by row."""
         with open(path, "w", encoding="utf-8") as out:
             out.write('{"records": [')
-            for n, r in enumerate(self.records().orderBy("seq").drop("norm", "seq").toLocalIterator()):
+            for n, r in enumerate(self.records().orderBy(*ORDER).drop("norm", "seq", "place").toLocalIterator()):
                 out.write(("," if n else "") + json.dumps(r.asDict()))
             out.write('], "file_hashes": ')
             out.write(json.dumps({r.source: r.digest for r in self.manifest().toLocalIterator()}) + "}")
 
     def import_json(self, path: str | Path, config: str = "") -> str:
-        """Commit a JSON document; missing keys mean empty, corrupt JSON fails."""
+        """Commit a JSON document; missing keys mean empty, corrupt JSON fails.  Records keep their order and precede all later ones."""
         from ..functions.vectors import norm
 
         doc = self.spark.read.schema(EXPORTED).option("multiLine", True).option("mode", "FAILFAST").json(str(path))
-        each = doc.select(F.posexplode("records").alias("seq", "r")).select("r.*", norm(F.col("r.embedding")).alias("norm"), F.col("seq").cast("long"))
-        manifest = doc.select(F.explode("file_hashes").alias("source", "digest")).withColumn("config", F.lit(config))
-        return self.commit(each, manifest)
+        seq = (F.col("pos") - F.col("n")).cast("long").alias("seq")
+        each = doc.select(F.posexplode("records").alias("pos", "r"), F.size("records").alias("n"))
+        records = each.select("r.*", norm(F.col("r.embedding")).alias("norm"), seq)
+        listed = doc.select(F.explode("file_hashes").alias("source", "digest")).select("source", "digest")
+        # records of a source without a hash are live, too, until a sync finds its file changed or gone
+        unlisted = records.select("source").distinct().join(listed, "source", "left_anti").select("source", F.lit(None).cast("string").alias("digest"))
+        return self.commit(records, listed.unionByName(unlisted).withColumn("config", F.lit(config)))

@@ -1,17 +1,19 @@
 import io
 import json
 import os
+import sys
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 
 from quillspark import cli
-from quillspark.config import Settings, api_key, flat_settings
+from quillspark.config import Settings, api_key, flat_settings, load_env
 from quillspark.engine import Engine, FlatEngine
 from quillspark.functions import prompts as P
-from quillspark.providers import Offline, in_batches, with_retries
+from quillspark.providers import Gemini, Offline, Remote, in_batches, with_retries
 from quillspark.sources import files
-from quillspark.sources.index import Index
+from quillspark.sources.index import PARTS, Index
 from quillspark.streaming import answer_stream
 
 
@@ -94,6 +96,55 @@ def test_sync_lifecycle(spark, tmp_path):
         e.sync()
 
 
+def test_sources_added_by_later_syncs_are_hits_of_their_own(spark, tmp_path):
+    e = kb(spark, tmp_path, min_score=0.1)
+    write(e.folder, a_dot_txt="Amman is the capital of Jordan.")
+    e.sync()
+    write(e.folder, b_dot_txt="Amman is a city of Jordan.")
+    e.sync()
+    assert [(r.id, r.seq) for r in e.index.records().orderBy("seq").collect()] == [("a.txt::chunk_0", 0), ("b.txt::chunk_0", 1)]
+    hits = e.retrieve(spark.createDataFrame([(1, "Amman is the capital of Jordan")], "qid long, question string")).orderBy("rank").collect()
+    assert [(r["rank"], r.source, r.text) for r in hits] == [(1, "a.txt", "Amman is the capital of Jordan."), (2, "b.txt", "Amman is a city of Jordan.")]
+
+
+def test_equal_scores_come_in_order_of_sync_then_path(spark, tmp_path):
+    e = kb(spark, tmp_path, min_score=0.1)
+    write(e.folder, z_dot_txt="one two", a_b_dot_txt="one two", a__z_dot_txt="one two")
+    e.sync()
+    write(e.folder, A_dot_txt="one two")
+    e.sync()
+    hits = e.retrieve(spark.createDataFrame([(1, "two one")], "qid long, question string")).orderBy("rank").collect()
+    assert [r.source for r in hits] == ["a/z.txt", "a_b.txt", "z.txt", "A.txt"]
+
+
+def test_syncs_append_until_the_index_is_written_whole(spark, tmp_path):
+    e = kb(spark, tmp_path)
+    write(e.folder, a_dot_txt="first", b_dot_txt="second")
+    e.sync()
+    parts = []
+    for i in range(PARTS + 1):
+        write(e.folder, a_dot_txt=f"first again {i}", **{f"c{i}_dot_txt": f"third {i}"})
+        e.sync()
+        parts.append(len(e.index._pointer()["parts"]))
+        want = {"a.txt": f"first again {i}", "b.txt": "second"} | {f"c{k}.txt": f"third {k}" for k in range(i + 1)}
+        assert {r.source: r.text for r in e.index.records().collect()} == want
+    assert parts == [*range(2, PARTS + 1), 1, 2]
+    before = set(os.listdir(e.index.folder))
+    with pytest.raises(Exception):
+        e.index.append(e.index.records().select("no_such"), e.index.manifest(), e.index.manifest())
+    assert set(os.listdir(e.index.folder)) == before and e.index.records().count() == 2 + PARTS + 1
+
+
+def test_folders_may_be_uris(spark, tmp_path):
+    folder, uri = tmp_path / "kb", tmp_path.as_uri()
+    write(folder, a_dot_txt="Amman is the capital of Jordan.", sub___x_dot_md="Bread", sub__deep__y_dot_csv="a,b\n1,2", empty_dot_txt="")
+    assert [r.source for r in files.discover(spark, f"{uri}/kb").collect()] == [r.source for r in files.discover(spark, folder).collect()] == ["a.txt", "empty.txt", "sub/_x.md", "sub/deep/y.csv"]
+    assert files.discover(spark, f"{uri}/none").count() == 0
+    e = Engine(spark, f"{uri}/kb", f"{uri}/index", Offline(64), Settings(dim=64, min_score=0.1))
+    assert e.sync()["added"] == 4 and "Amman" in e.answer("capital of Jordan")["answer"] and e.sync()["unchanged"] == 4
+    assert FlatEngine(spark, f"{uri}/kb", f"{uri}/flat", Offline(64)).build() == 1
+
+
 class Says(Offline):
     def __init__(self, text):
         super().__init__(64)
@@ -174,6 +225,77 @@ def test_cli(tmp_path, monkeypatch, capsys, spark):
     assert cli.main(["--kb-dir", str(tmp_path / "none"), "ask", "x"]) == 1 and "Configuration error" in capsys.readouterr().err
 
 
+def test_chat_reads_questions_until_the_end(capsys):
+    for given, want in ((["a", " ", "b", "Exit", "c"], ["a", "b"]), (["quit"], []), (["a", None], ["a"])):
+        lines = iter(given)
+
+        def read(_):
+            if (line := next(lines)) is None:
+                raise EOFError
+            return line
+
+        assert list(cli.questions(read)) == want
+
+
+def test_flat_command(tmp_path, monkeypatch, capsys, spark):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    base = ["--kb-dir", str(tmp_path / "kb"), "--index-dir", str(tmp_path / "i")]
+    assert cli.main([*base, "flat"]) == 0 and "Nothing to load" in capsys.readouterr().out
+    write(tmp_path / "kb", a_dot_txt="Amman is the capital of Jordan.", b_dot_docx=b"broken")
+    assert cli.main([*base, "flat", "capital of Jordan"]) == 0
+    out = capsys.readouterr().out
+    assert "Skipped 'b.docx'" in out and "Indexed 1 chunk(s)." in out and "Assistant: Amman is the capital of Jordan." in out and "(Sources: a.txt)" in out
+    lines = iter(["what", "exit"])
+    monkeypatch.setattr("builtins.input", lambda _: next(lines))
+    monkeypatch.setattr(FlatEngine, "answer", lambda self, q: 1 / 0)
+    assert cli.main([*base, "flat"]) == 0 and "could not be answered" in capsys.readouterr().out
+
+
+def test_remote_provider_needs_a_key_and_sends_what_it_should(tmp_path, monkeypatch, capsys):
+    for name in ("GEMINI_API_KEY", "GOOGLE_API_KEY"):
+        monkeypatch.delenv(name, raising=False)
+    monkeypatch.chdir(tmp_path)
+    base = ["--kb-dir", str(tmp_path), "--index-dir", str(tmp_path / "i")]
+    assert cli.main([*base, "--provider", "gemini", "ask", "x"]) == 1 and "Configuration error: no API key" in capsys.readouterr().err
+    assert cli.main([*base, "--provider", "other", "ask", "x"]) == 1 and "no provider" in capsys.readouterr().err
+    (tmp_path / ".env").write_text("# keys\nGOOGLE_API_KEY='from file'\n")
+    load_env()
+    assert api_key() == "from file"
+    monkeypatch.setenv("GEMINI_API_KEY", "k")
+    sent = []
+
+    class Models:
+        def embed_content(self, **given):
+            sent.append(given)
+            return SimpleNamespace(embeddings=[SimpleNamespace(values=[1, 2]) for _ in given["contents"]])
+
+        def generate_content(self, **given):
+            sent.append(given)
+            return SimpleNamespace(text=" said ")
+
+    client = SimpleNamespace(Client=lambda api_key: SimpleNamespace(models=Models()) if api_key == "k" else None)
+    client.types = SimpleNamespace(EmbedContentConfig=dict, GenerateContentConfig=dict)
+    monkeypatch.setitem(sys.modules, "google", SimpleNamespace(genai=client))
+    monkeypatch.setitem(sys.modules, "google.genai", client)
+    p = Gemini()
+    assert p.embedder()(["a", "b"], "RETRIEVAL_QUERY") == [[1, 2], [1, 2]] and p.generator()("ask") == " said "
+    assert sent[0] == {"model": "gemini-embedding-001", "contents": ["a", "b"], "config": {"task_type": "RETRIEVAL_QUERY"}}
+    assert sent[1] == {"model": "gemini-2.5-flash", "contents": "ask", "config": {"system_instruction": P.SYSTEM}} and P.NOT_FOUND in P.SYSTEM
+    Gemini(flat=True).generator()("ask")
+    assert sent[2]["config"] == {"temperature": 0.0}
+
+
+def test_remote_columns_call_in_batches(spark):
+    def client():
+        return lambda texts, task: [[float(len(texts)), float(len(task))] for _ in texts]
+
+    p = Remote(client, lambda: lambda prompt: f" {prompt}! ")
+    df = spark.createDataFrame([(str(i),) for i in range(40)], "t string").coalesce(1)
+    assert sorted({r.v[0] for r in df.select(p.embed("t").alias("v")).collect()}) == [8.0, 32.0]
+    assert {tuple(r.v) for r in df.select(p.embed("t", "RETRIEVAL_QUERY").alias("v")).collect()} == {(1.0, 15.0)}
+    assert df.select(p.generate("t").alias("a")).first().a == "0!"
+
+
 def test_key_and_settings(monkeypatch):
     monkeypatch.delenv("GEMINI_API_KEY", raising=False)
     monkeypatch.setenv("GOOGLE_API_KEY", "g")

@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,7 +99,40 @@ def test_pushdown_and_topk_plans(spark):
     assert "TakeOrderedAndProject" in plan
     asked = spark.createDataFrame([(7, [1.0])], "qid long, query array<double>")
     plan = search.batch_top(df, asked)._jdf.queryExecution().toString()
-    assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" in plan
+    assert "WindowGroupLimit" in plan and "MapInArrow" in plan and "NestedLoopJoin" not in plan and "Cartesian" not in plan
+
+
+def test_batch_search_equals_brute_force(spark):
+    rnd = random.Random(11)
+    pool = [[float(rnd.randint(0, 2)) for _ in range(rnd.choice([3, 3, 3, 2, 5]))] for _ in range(40)]
+    rows = [(rnd.choice(["a", "b", "c/d", None]), i, rnd.choice(pool)) for i in range(3000)] + [("n", 1, None), ("n", 2, [1.0, None, 0.0]), ("n", 3, [])]
+    rnd.shuffle(rows)
+    asked = [(f"q{i}", rnd.choice(pool)) for i in range(30)] + [("none", None)]
+
+    def cosine(a, b):
+        na, nb = sum(x * x for x in a) ** 0.5, sum(x * x for x in b) ** 0.5
+        return sum(x * y for x, y in zip(a, b)) / (na * nb) if na and nb else 0.0
+
+    want = []
+    for q, v in asked[:-1]:
+        scored = sorted((-round(cosine(v, x), 4), p or "", i) for p, i, x in rows if x is not None and None not in x)
+        want += [(q, "" if p is None else p, i, -s, n + 1) for n, (s, p, i) in enumerate([x for x in scored if -x[0] >= 0.3][:7])]
+    df = spark.createDataFrame(rows, "place string, seq long, embedding array<double>").repartition(3)
+    qs = spark.createDataFrame(asked, "qid string, query array<double>")
+    for limit in (4096, 7):
+        got = search.batch_top(df, qs, 7, 0.3, order=("place", "seq"), digits=4, limit=limit).collect()
+        assert sorted((r.qid, r.place or "", r.seq, round(r.score, 4), r.rank) for r in got) == sorted((q, p, i, round(s, 4), n) for q, p, i, s, n in want)
+    assert search.batch_top(df, qs, 0).count() == 0 and search.batch_top(df, qs.limit(0)).count() == 0 and search.batch_top(df.limit(0), qs).count() == 0
+
+
+def test_offline_embedding_counts_tokens(spark):
+    texts = ["", "a b a", "one, two; ONE two zwei 2 2 2", "x " * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", V.hashed_embedding("t", 16).alias("v"))
+    for r in df.collect():
+        want = [0.0] * 16
+        for w in re.findall(r"\w+", r.t.lower()):
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
+        assert r.v == want
 
 
 def test_sync_states(spark):
