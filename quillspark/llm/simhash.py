@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, narrow, stored
+from .common import map_texts, narrow, quoted, stored
 
 RADIUS = 2
 SHINGLE = 3
@@ -60,17 +60,22 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def text_key(text: str) -> Column:
+    """Stands for a text; null counts as empty."""
+    return F.md5(F.coalesce(F.col(text), F.lit("")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): ``fp`` is the fingerprint as a signed 64-bit integer.  Null text counts as empty."""
+    """(doc_id, key, fp): ``fp`` is the fingerprint as a signed 64-bit integer.  Null text counts as empty."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            fps = np.array([fingerprint_of(t) for t in batch.column(1).to_pylist()], "u8").view("i8")
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint_of(t) for t in batch.column(2).to_pylist()], "u8").view("i8")
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
         return step
 
-    return map_texts(narrow(docs, "doc_id", "text"), make, "doc_id long, fp long")
+    return map_texts(docs.select("doc_id", text_key("text").alias("key"), "text"), make, "doc_id long, key string, fp long")
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -353,15 +358,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicate_groups(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``.
-
-    component_id is the smallest doc_id that can be reached over links of at most two bits, and with ``similarity``
-    also over links of that Jaccard similarity of ``shingle``-word shingles at least.  Null or
-    blank text has fingerprint zero and is linked like any other.  Repeated rows are returned as often
-    as they come.  A row without doc_id gets its group's smallest id, null if no row there has one.
-    An empty table gives an empty result; further columns are ignored.
-    """
+def _grouped(docs: DataFrame, similarity: float | None, shingle: int) -> DataFrame:
+    """(doc_id, key, fp, root, component_id) for every row; ``key`` stands for the text, ``root`` for the group."""
     fps = stored(fingerprints(docs), "fingerprints")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
     edges = links(distinct.select("fp"))
@@ -371,29 +369,44 @@ def near_duplicate_groups(docs: DataFrame, similarity: float | None = None, shin
     members = found.union(found.select(F.col("root").alias("node"), "root").distinct())
     named = members.join(distinct, members.node == distinct.fp).select("node", "root", "first_id")
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked_fps = named.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    named_all = distinct.join(linked_fps, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    linked_fps = named.join(lowest, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    named_all = distinct.join(linked_fps, "fp", "left")
     # as a written table, both sides of the last join are plain exchanges and a hot fingerprint can be split
-    named_all = stored(named_all, "named")
-    return fps.join(named_all, "fp").select("doc_id", "fp", "component_id")
+    named_all = named_all.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return fps.join(stored(named_all, "named"), "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the row whose doc_id names the group.
+def near_duplicate_groups(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``.
 
-    The settings are those of ``near_duplicate_groups``.
+    component_id is the smallest doc_id that can be reached over links of at most two bits, and with ``similarity``
+    also over links of that Jaccard similarity of ``shingle``-word shingles at least.  Null or
+    blank text has fingerprint zero and is linked like any other.  Repeated rows are returned as often
+    as they come.  A row without doc_id gets its group's smallest id, null if no row there has one.
+    An empty table gives an empty result; further columns are ignored.
+    """
+    return _grouped(docs, similarity, shingle).select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float | None = None, shingle: int = 5) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the row with the group's smallest doc_id.
 
-    Rows that share that doc_id count as repeats and one of them stays.  Rows without a doc_id cannot
-    be told apart and stay.
+    The settings are those of ``near_duplicate_groups``.  Rows are told apart by doc_id and text, so rows that share
+    a doc_id go or stay each with its own group.  If a group has its smallest doc_id with several texts, the one with
+    the smallest MD5 stays; of rows with one doc_id and text, the one whose columns have the smallest hash.  Rows without
+    a doc_id stay.  An empty table gives an empty result; other columns may have any name and are kept as they are.
     """
-    groups = stored(near_duplicate_groups(docs, similarity, shingle), "groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    groups = stored(_grouped(docs, similarity, shingle), "groups").where("doc_id is not null")
+    stays = groups.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("key").alias("key"))
+    gone = groups.select("doc_id", "key").distinct().join(stays.select("doc_id", "key"), ["doc_id", "key"], "left_anti")
+    whole = docs.select(F.col("doc_id").alias("i"), text_key("text").alias("k"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+    kept = whole.join(gone.select(F.col("doc_id").alias("i"), F.col("key").alias("k")), ["i", "k"], "left_anti")
+    repeated = groups.groupBy(F.col("doc_id").alias("i"), F.col("key").alias("k")).count().where("count > 1").select("i", "k")
+    if not repeated.isEmpty():
+        repeated = stored(repeated, "repeated")
+        once = kept.join(repeated, ["i", "k"], "left_semi").groupBy("i", "k").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        kept = kept.join(repeated, ["i", "k"], "left_anti").unionByName(once)
+    return kept.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def hex_of(fp: str) -> Column:

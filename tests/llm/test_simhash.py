@@ -106,6 +106,25 @@ def test_drop_keeps_one_row_of_each_group(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 8]
 
 
+def test_rows_that_share_an_id_go_or_stay_with_their_own_groups(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, b, "k"), (5, b, "k"), (5, a, "k"), (6, c, "x"), (6, c, "y"), (6, a + " a60", "z"), (7, None, "n"), (7, "", "n"), (None, b, "k"), (None, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string").selectExpr("*", "k as i", "k as row", "k as `key`", "k as root", "k as `a.b`")
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted((x for x in got if x[1]), key=repr) == sorted([(3, b), (5, a), (6, c), (None, b)] + ([(6, a + " a60")] if bits(a, a + " a60") > 2 else []), key=repr)
+    # null and empty text of one id are repeats; rows without an id stay
+    assert sorted(repr(x) for x in got if not x[1]) in (["(7, '')", "(None, None)"], ["(7, None)", "(None, None)"])
+    again = sorted(repr(tuple(r)) for r in simhash.drop_near_duplicates(df.repartition(5)).collect())
+    assert again == sorted(repr(tuple(r)) for r in kept.collect())
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def bits(s, t):
+    return bin(simhash.fingerprint_of(s) ^ simhash.fingerprint_of(t)).count("1")
+
+
 def test_similarity_finds_near_copies_beyond_two_bits(spark):
     rnd = random.Random(21)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
