@@ -89,8 +89,12 @@ class _Best:
 def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(matrix, norms, valid): vectors cut or filled with zeros to ``dim``; norms are of the whole vectors."""
     n = len(vectors)
-    whole = np.ones(n, bool) if not vectors.null_count else vectors.is_valid().to_numpy(zero_copy_only=False)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype("f8", copy=False)
+    whole = vectors.is_valid().to_numpy(zero_copy_only=False)
+    flat = vectors.flatten()
+    if flat.null_count:
+        owner = np.repeat(np.arange(n), np.nan_to_num(pc.list_value_length(vectors).to_numpy(zero_copy_only=False)).astype(int))
+        whole[owner[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+    flat = flat.to_numpy(zero_copy_only=False).astype("f8", copy=False)
     sizes = np.nan_to_num(pc.list_value_length(vectors).to_numpy(zero_copy_only=False)).astype(int)
     if (sizes == dim).all():
         m = flat.reshape(n, dim)
@@ -135,8 +139,6 @@ def batch_top(
     asked = questions.select(key, V.doubles("query").alias("query"))
     carried = [c for c in vectors.columns if c not in ("embedding", "norm")]
     own = vectors.select(*carried, V.doubles("embedding").alias("embedding"), *(["norm"] if "norm" in vectors.columns else []))
-    own = own.where("embedding is not null and not exists(embedding, x -> x is null)")
-    asked = asked.where("query is not null and not exists(query, x -> x is null)")
     widest = asked.agg(F.max(F.size("query"))).first()[0] or 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*own.select(*carried).schema, *asked.select(key).schema]) + ", score double"
     out = None
@@ -154,13 +156,13 @@ def _scorer(sent, key: str, carried: list[str], order: list[str], k: int, least:
         block = sent.value
         if not len(block):
             return
-        queries, query_norms, _ = _matrix(block["query"].combine_chunks(), dim)
+        queries, query_norms, asked = _matrix(block["query"].combine_chunks(), dim)
         best = _Best(len(block), k, order)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 rows = whole.slice(at, ROWS)
                 rows = rows.take(pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
-                m, norms, _ = _matrix(rows.column("embedding"), dim)
+                m, norms, whole_rows = _matrix(rows.column("embedding"), dim)
                 if "norm" in rows.schema.names:
                     given = rows.column("norm").to_numpy(zero_copy_only=False).astype("f8")
                     norms = np.where(np.isnan(given), norms, given)
@@ -168,7 +170,7 @@ def _scorer(sent, key: str, carried: list[str], order: list[str], k: int, least:
                 with np.errstate(all="ignore"):
                     scores = np.where((norms[:, None] == 0) | (query_norms == 0), 0.0, m @ queries.T / sizes)
                     scores = _rounded(scores, digits)
-                    best.add(scores, scores >= least, rows.select(carried))
+                    best.add(scores, (scores >= least) & whole_rows[:, None] & asked, rows.select(carried))
         found = best.settle()
         if found is not None and len(found):
             named = found.select(carried).append_column(key, block[key].take(found["_q"])).append_column("score", found["_score"])

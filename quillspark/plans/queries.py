@@ -5,8 +5,10 @@ A *file* is a row of ``documents``: its path is its source, ``/doc_``, its doc_i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +18,10 @@ from ..functions import prompts as P
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, search, sync
-from ..providers import Offline
-from ..sources.files import parse_binary
+from ..providers import Offline, in_batches
+from ..sources.files import READERS, csv_text, docx_text, parse_binary, pdf_text, text_of
+from ..sources.index import Index
+from ..storage import joined, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,14 +87,16 @@ def read_text(spark, sf_dir):
 @query(f"SELECT {_SUFFIX_SQL} AS ext, CASE WHEN {_SUFFIX_SQL} IN ('.txt', '.md', '.markdown') THEN 'text' WHEN {_SUFFIX_SQL} = '.csv' THEN 'csv' "
        f"WHEN {_SUFFIX_SQL} IN ('.pdf', '.docx') THEN 'package' ELSE 'unsupported' END AS reader, count(*) AS n FROM documents GROUP BY ALL")
 def reader_dispatch(spark, sf_dir):
-    ext = F.col("ext")
-    reader = F.when(ext.isin(".txt", ".md", ".markdown"), "text").when(ext == ".csv", "csv").when(ext.isin(".pdf", ".docx"), "package").otherwise("unsupported")
+    kinds = {text_of: "text", csv_text: "csv", pdf_text: "package", docx_text: "package"}
+    known = F.create_map(*[F.lit(x) for ext, reader in READERS.items() for x in (ext, kinds[reader])])
+    reader = F.coalesce(F.try_element_at(known, "ext"), F.lit("unsupported"))
     return named_files(spark, sf_dir).groupBy("ext", reader.alias("reader")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT doc_id, {_SUFFIX_SQL} IN ('.txt', '.md', '.markdown', '.csv') AS loaded FROM documents WHERE {_SUFFIX_SQL} NOT IN ('.pdf', '.docx')")
+@query(f"SELECT doc_id, {_SUFFIX_SQL} IN ('.txt', '.md', '.markdown', '.csv') AS loaded FROM documents")
 def load_partition_ok_bad(spark, sf_dir):
-    files = named_files(spark, sf_dir).where(~F.col("ext").isin(".pdf", ".docx")).select("doc_id", "ext", F.encode("text", "UTF-8").alias("content"))
+    # a text under the name of a package is a file that cannot be read
+    files = named_files(spark, sf_dir).select("doc_id", "ext", F.encode("text", "UTF-8").alias("content"))
     return parse_binary(files).select("doc_id", F.col("error").isNull().alias("loaded"))
 
 
@@ -106,11 +112,12 @@ def csv_flatten_nation(spark, sf_dir):
     return _flattened(table(spark, sf_dir, "nation"), "n_nationkey")
 
 
-@query("SELECT c_custkey, 'c_custkey: ' || c_custkey || ', c_name: ' || c_name || ', c_mktsegment: ' || c_mktsegment AS text FROM customer")
+@query("SELECT c_custkey, 'c_custkey: ' || c_custkey || ', c_name: ' || c_name || ', c_nationkey: ' || c_nationkey || ', c_acctbal: ' || c_acctbal || ', c_mktsegment: ' || c_mktsegment AS text FROM customer")
 def csv_flatten_customer(spark, sf_dir):
     # the same flattening for rows that are columns already: no Python
-    names = ["c_custkey", "c_name", "c_mktsegment"]
-    rows = table(spark, sf_dir, "customer").select("c_custkey", F.array(*[F.lit(n) for n in names]).alias("h"), F.array(*[F.col(n).cast("string") for n in names]).alias("v"))
+    customers = table(spark, sf_dir, "customer")
+    names = customers.columns
+    rows = customers.select("c_custkey", F.array(*[F.lit(n) for n in names]).alias("h"), F.array(*[F.col(n).cast("string") for n in names]).alias("v"))
     n = F.least(F.size("h"), F.size("v"))
     pairs = F.zip_with(F.slice("h", 1, n), F.slice("v", 1, n), lambda h, v: F.concat(T.strip(h), F.lit(": "), T.strip(v)))
     return rows.select("c_custkey", F.array_join(pairs, ", ").alias("text"))
@@ -285,9 +292,19 @@ def embed_chunks(spark, sf_dir):
 
 @query(f"WITH {chunk_sql()} SELECT doc_id, chunk_index // 32 AS batch, count(*) AS n FROM chunks GROUP BY ALL")
 def embed_batches(spark, sf_dir):
-    """Requests of at most 32 texts that each changed file takes."""
-    batch = F.floor(F.col("chunk_index") / 32).cast("int").alias("batch")
-    return doc_chunks(spark, sf_dir).groupBy("doc_id", batch).agg(F.count("*").alias("n"))
+    """Requests that the embedding of each changed file takes, as the provider's batching makes them."""
+
+    @F.pandas_udf("array<long>")
+    def sizes(counts: pd.Series) -> pd.Series:
+        def of(n: int) -> list[int]:
+            asked: list[int] = []
+            in_batches([""] * n, lambda part: asked.append(len(part)) or [[]] * len(part))
+            return asked
+
+        return counts.map(of)
+
+    pieces = chunking.raw_chunks(table(spark, sf_dir, "documents"), SIZE, OVERLAP)
+    return pieces.select("doc_id", F.posexplode(sizes(F.size("pieces"))).alias("batch", "n"))
 
 
 _RETRIEVE_SQL = f"""
@@ -395,10 +412,21 @@ def sync_log(spark, sf_dir):
 
 @query(f"WITH {chunk_sql()} SELECT doc_id, chunk_index, length(text) AS n FROM chunks")
 def index_roundtrip(spark, sf_dir):
-    """Records as JSON documents and back, by an explicit schema."""
-    made = doc_chunks(spark, sf_dir).select("doc_id", F.to_json(F.struct("chunk_index", "text", F.array(F.lit(0.5), F.lit(-2.0)).alias("embedding"))).alias("j"))
-    back = made.select("doc_id", F.from_json("j", "chunk_index int, text string, embedding array<double>", {"mode": "FAILFAST"}).alias("r"))
-    return back.select("doc_id", "r.chunk_index", F.length("r.text").cast("long").alias("n")).where("r.embedding[1] = -2.0")
+    """Records written to an index, read from it, and taken through its JSON form."""
+    made = doc_chunks(spark, sf_dir).withColumn("source", F.col("doc_id").cast("string"))
+    vector = Offline(DIM).embed("text")
+    records = made.select(
+        T.chunk_id("source", F.col("chunk_index").cast("string")).alias("id"), "text", "source", F.col("chunk_index").cast("int"),
+        vector.alias("embedding"), V.norm(vector).alias("norm"), F.lit(0).cast("long").alias("seq"),
+    )
+    index = Index(spark, joined(shared_dir(spark), f"quill/index-{uuid.uuid4().hex}"))
+    digests = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source"), T.fingerprint("text").alias("digest"), F.lit("").alias("config"))
+    index.commit(records, digests)
+    schema = "id string, text string, source string, chunk_index int, embedding array<double>"
+    back = index.records().select("embedding", F.from_json(F.to_json(F.struct("id", "text", "source", "chunk_index", "embedding")), schema, {"mode": "FAILFAST"}).alias("r"))
+    return back.where("r.embedding = embedding and r.id = r.source || '::chunk_' || r.chunk_index").select(
+        F.col("r.source").cast("long").alias("doc_id"), "r.chunk_index", F.length("r.text").cast("long").alias("n")
+    )
 
 
 # ---- answers ------------------------------------------------------------------------------------------------

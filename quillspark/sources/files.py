@@ -152,10 +152,6 @@ READERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-# which reader a suffix goes to, by the reader's name
-READER_NAMES = {ext: reader.__name__.removesuffix("_text").replace("text_of", "text") for ext, reader in READERS.items()}
-
-
 def parse(ext: str, data: bytes) -> str:
     reader = READERS.get(ext.lower())
     if reader is None:

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
+_OWN: dict[str, str] = {}  # folders of sessions that name none
+
 
 def is_uri(path: str) -> bool:
     return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) is not None
@@ -15,6 +18,18 @@ def joined(*parts: object) -> str:
     return "/".join(str(p).rstrip("/") for p in parts)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share; a temporary one only in a session of one process that names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _OWN:
+        _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
+    return _OWN[spark.sparkContext.applicationId]
+
+
 class Store:
     """A folder of a Hadoop file system."""
 

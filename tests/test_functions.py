@@ -67,6 +67,45 @@ def test_recursive_split():
     assert chunking.split_recursively("short", 100, 20) == ["short"] and chunking.split_recursively(" \n\n ", 100, 20) == []
 
 
+def recursively(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    """The splitter stated anew: parts keep the separator before them; short ones are merged, others split by the next separator."""
+    sep = next(s for s in separators if s in text)
+    rest = separators[separators.index(sep) + 1 :]
+    first, *more = text.split(sep) if sep else ["", *text]
+    parts = [p for p in [first, *(sep + m for m in more)] if p]
+    out, run = [], []
+
+    def merge(run):
+        kept, first = [], 0
+        for last in range(len(run) + 1):
+            whole = "".join(run[first:last])
+            if last == len(run) or len(whole) + len(run[last]) > size:
+                if last > first:
+                    kept.append(whole)
+                    while last < len(run) and first < last and (len("".join(run[first:last])) > overlap or len("".join(run[first : last + 1])) > size):
+                        first += 1
+        return kept
+
+    for part in parts:
+        if len(part) < size:
+            run.append(part)
+        else:
+            out += merge(run) + (recursively(part, size, overlap, rest) if rest else [part])
+            run = []
+    return [c.strip() for c in out + merge(run) if c.strip()]
+
+
+def test_recursive_split_equals_its_rule_on_any_text(spark):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choice(["a", "bb", "ccc", " ", " ", "\n", "\n\n", "é" * 9, "x" * 30]) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
+    for size, overlap in ((10, 3), (20, 7), (30, 1)):
+        for t in texts:
+            assert chunking.split_recursively(t, size, overlap) == (recursively(t, size, overlap) if t else []), (t, size)
+    df = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts[:50])], "source int, text string")
+    got = sorted((r.source, r.chunk_index, r.text) for r in chunking.recursive_chunks(df, 20, 7).collect())
+    assert got == [(i, n, c) for i, t in enumerate(texts[:50]) for n, c in enumerate(recursively(t, 20, 7) if t else [])]
+
+
 def test_suffixes(spark):
     names = ["a.TXT", "d/.txt", "d/x.tar.csv", "noext", ".hidden.md", "a b.pdf", "d.txt/file"]
     df = spark.createDataFrame([(n,) for n in names], "p string").select(T.suffix("p"), T.base_name("p"))
