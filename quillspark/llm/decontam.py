@@ -9,12 +9,16 @@ shingles have all their shingles as bands, an exact way.  Every candidate is ver
 share of the item's word shingles in the whole document.
 
 The pass over the documents is map-only: no document row is shuffled.  Items are set against all rows in
-blocks of at most ``BLOCK`` items, so what a worker holds is bounded however large the benchmark is.
+blocks of at most ``BLOCK`` items, so what a worker holds is bounded however large the benchmark is.  The driver
+holds one block at a time; a broadcast block lies on disk.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,8 @@ from .common import map_texts, narrow
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK = 50_000
+BLOCK = 50_000  # items of a block
+BLOCK_BYTES = 16 << 20  # of their texts
 SHORT = 12
 # letters and digits of ASCII and everything beyond ASCII
 _WORD = re.compile(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -156,13 +161,31 @@ class Index:
         return [x for x in found if x[2] and x[1] >= threshold * x[2] - 1e-9]
 
 
-def _blocks(items: DataFrame, block: int):
-    """Items in blocks of bounded size, each brought to the driver alone."""
+_INDEXES: OrderedDict[str, Index] = OrderedDict()
+
+
+def _indexes(items: DataFrame, block: int) -> Iterator[Callable[[], Index]]:
+    """For each block of items a function that gives its index in a worker.
+
+    A block is bounded by rows and bytes, comes to the driver alone and is broadcast once; a worker process builds an
+    index once and keeps the last two.
+    """
     rows = narrow(items, "item_id", "text")
-    n = max(1, -(-rows.count() // block))
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-n_rows // block), -(-n_bytes // BLOCK_BYTES))
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r.item_id, r.text) for r in part.toLocalIterator()]
+        sent = items.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in part.toLocalIterator()])
+        name = uuid.uuid4().hex
+
+        def index(sent=sent, name=name) -> Index:
+            if name not in _INDEXES:
+                _INDEXES[name] = Index(sent.value)
+                while len(_INDEXES) > 2:
+                    _INDEXES.popitem(last=False)
+            return _INDEXES[name]
+
+        yield index
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -173,10 +196,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Repeated rows and repeated items are all reported.  Empty inputs give an empty result.
     """
     out = None
-    for some in _blocks(items, block):
+    for index_of in _indexes(items, block):
 
-        def make(some=some):
-            index = Index(some)
+        def make(index_of=index_of):
+            index = index_of()
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 rows = [
@@ -202,10 +225,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows that contain a benchmark item; all columns are kept as they are."""
     at = docs.columns.index("text")
-    for some in _blocks(items, block):
+    for index_of in _indexes(items, block):
 
-        def make(some=some):
-            index = Index(some)
+        def make(index_of=index_of):
+            index = index_of()
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 return batch.filter(pa.array([not index.find(t, threshold) for t in batch.column(at).to_pylist()], pa.bool_()))
