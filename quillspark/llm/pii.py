@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.99
 EXAMPLES = 4000
@@ -83,6 +85,51 @@ def _prefix(lens: str) -> str:
     return _let("chunks", chunks, _let("heads", sums, f"flatten(transform(chunks, (c, k) -> {inner}))"))
 
 
+_LEAST = "-4611686018427387904L"
+CHUNK = 1024  # code points of a chunk of text
+
+
+def _running_max(values: str) -> str:
+    """The largest element up to each position, in chunks like ``_prefix``."""
+    chunks = f"transform(sequence(0, (size({values}) - 1) div 256), c -> slice({values}, c * 256 + 1, 256))"
+    step = "(a, x) -> concat(a, array(greatest(element_at(a, -1), x)))"
+    heads = f"aggregate(transform(chunks, c -> array_max(c)), array({_LEAST}), {step})"
+    inner = f"slice(aggregate(c, array(heads[k]), {step}), 2, size(c))"
+    return _let("chunks", chunks, _let("heads", heads, f"flatten(transform(chunks, (c, k) -> {inner}))"))
+
+
+def _apart(candidates: str, base: str) -> str:
+    """Candidates (s, e, m) in order that overlap no base span: one sweep over both in order of their starts.
+
+    A candidate lies apart if no base span that starts before it ends within it and none starts within it.
+    """
+    both = f"""sort_array(concat(transform({base}, b -> struct(b.s as s, 0 as k, b.e as e, '' as m)),
+      transform({candidates}, c -> struct(c.s as s, 1 as k, c.e as e, c.m as m))))"""
+    ends = f"transform(both, x -> if(x.k = 0, x.e, {_LEAST}))"
+    starts = f"transform(reverse(both), x -> if(x.k = 0, -x.s, {_LEAST}))"
+    kept = "filter(both, (x, i) -> x.k = 1 and before[i] <= x.s and -after[size(both) - 1 - i] >= x.e)"
+    found = _let("before", _let("ends", ends, _running_max("ends")), _let("after", _let("begins", starts, _running_max("begins")), kept))
+    return f"transform({_let('both', both, found)}, x -> struct(x.s as s, x.e as e, x.m as m))"
+
+
+def _merged(spans: str) -> str:
+    """Unions of overlapping spans in order, each with the kind of its first span."""
+    ordered = f"sort_array(transform({spans}, x -> struct(x.s as s, -x.e as e, x.kind as kind)))"
+    firsts = "filter(sequence(0, size(sp) - 1), i -> i = 0 or sp[i].s >= reach[i - 1])"
+    groups = "transform(at, (i, k) -> struct(sp[i].s as s, reach[coalesce(get(at, k + 1), size(sp)) - 1] as e, sp[i].kind as kind))"
+    reach = _let("ends", "transform(sp, x -> -x.e)", _running_max("ends"))
+    return _let("sp", ordered, _let("reach", reach, _let("at", firsts, groups)))
+
+
+def _between(low: str, high: str) -> str:
+    """The text from one code point to another, out of chunks, so that no text is walked again for each span."""
+    first, last = f"int({low} div {CHUNK})", f"int({high} div {CHUNK})"
+    head = f"substring(coalesce(get(cut, {first}), ''), int({low} % {CHUNK}) + 1)"
+    tail = f"left(coalesce(get(cut, {last}), ''), int({high} % {CHUNK}))"
+    within = f"substring(coalesce(get(cut, {first}), ''), int({low} % {CHUNK}) + 1, int({high} - {low}))"
+    return f"if({first} = {last}, {within}, concat({head}, array_join(slice(cut, {first} + 2, {last} - {first} - 1), ''), {tail}))"
+
+
 def _matches(kind: str, pattern: str, guard: str) -> str:
     """Spans of all matches in t, each with a little of the text before and after it."""
     steps = "transform(ms, (x, i) -> cast(length(pieces[i]) + length(x) as bigint))"
@@ -293,11 +340,12 @@ def scan(docs: DataFrame, model: Model | None = None, *keep: str) -> DataFrame:
     df = _proposed(df)
     raw = model.trees.sql("c", list(FEATURES))
     threshold = f"array({', '.join(f'{t!r}D' for t in model.thresholds)})[c.g]"
-    select = f"{raw} >= {threshold} and not exists(base, b -> b.s < c.e and c.s < b.e)"
+    good = f"transform(filter(proposed, c -> {raw} >= {threshold}), c -> struct(c.s as s, c.e as e, c.m as m))"
     # a span that two generators propose counts once
-    chosen = f"sort_array(transform(filter(proposed, c -> {select}), c -> struct(c.s as s, c.e as e, c.m as m)))"
     once = "filter(spans, (x, i) -> i = 0 or x.s <> spans[i - 1].s or x.e <> spans[i - 1].e)"
-    learned = _let("spans", chosen, f"transform({once}, c -> struct('learned' as kind, c.s as s, c.e as e, c.m as m))")
+    chosen = f"transform({once}, c -> struct('learned' as kind, c.s as s, c.e as e, c.m as m))"
+    none = "cast(array() as array<struct<kind: string, s: bigint, e: bigint, m: string>>)"
+    learned = _let("good", good, f"if(size(good) = 0, {none}, {_let('spans', _apart('good', 'base'), chosen)})")
     return df.withColumn("learned", F.expr(learned)).select(*keep, "t", "base", "learned", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
 
 
@@ -319,16 +367,14 @@ def digest(docs: DataFrame, model: Model | None = None) -> DataFrame:
 def redact(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``docs`` with each span, or union of overlapping spans, of the text replaced by the first one's kind, as in [EMAIL].
 
-    Texts with no span, null texts and all other columns are kept as they are.
+    Texts with no span, null texts and all other columns, whatever their names, are kept as they are.
     """
-    inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    inner = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), "text")
     found = scan(inner, model, "row")
-    merged = """aggregate(sort_array(transform(concat(base, learned), x -> struct(x.s as s, -x.e as e, x.kind as kind))),
-      cast(array() as array<struct<s: bigint, e: bigint, kind: string>>),
-      (a, x) -> if(size(a) > 0 and x.s < element_at(a, -1).e,
-        concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s as s, greatest(element_at(a, -1).e, -x.e) as e, element_at(a, -1).kind as kind))),
-        concat(a, array(struct(x.s as s, -x.e as e, x.kind as kind)))))"""
-    parts = "transform(p, (x, i) -> concat(substring(t, int(if(i = 0, 0L, p[i - 1].e)) + 1, int(x.s - if(i = 0, 0L, p[i - 1].e))), '[', upper(x.kind), ']'))"
-    rest = "substring(t, int(element_at(p, -1).e) + 1, length(t))"
-    clean = F.expr(f"if(size(base) + size(learned) = 0, row.text, {_let('p', merged, f'concat(array_join({parts}, {chr(39) * 2}), {rest})')})")
-    return found.select(*[clean.alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    gap = _between("if(i = 0, 0L, p[i - 1].e)", "x.s")
+    parts = f"transform(p, (x, i) -> concat({gap}, '[', upper(x.kind), ']'))"
+    rest = _between("element_at(p, -1).e", "length(t)")
+    text = f"concat(array_join({parts}, ''), {rest})"
+    cut = f"regexp_extract_all(t, '(?s).{{1,{CHUNK}}}', 0)"
+    clean = F.expr(f"if(size(base) + size(learned) = 0, row.text, {_let('p', _merged('concat(base, learned)'), _let('cut', cut, text))})")
+    return found.select(*[clean.alias("text") if c == "text" else F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns])

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import pii
 
@@ -102,6 +104,82 @@ def test_redaction(spark, model):
     assert got == {1: "mail [EMAIL] or [IP], [PHONE].", 2: "clean", 3: None, 4: "+[CARD] x", None: "😀 [EMAIL] é"}
 
 
+def merged(spans):
+    out = []
+    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+        if out and s < out[-1][2]:
+            out[-1][2] = max(out[-1][2], e)
+        else:
+            out.append([kind, s, e])
+    return out
+
+
+def test_learned_spans_and_redaction_equal_brute_force(spark, model):
+    rnd = random.Random(13)
+    parts = ["a@b.cd", "1.2.3.4", "+1 (319) 555-5132", "(415) 555-0132", "4909629000452649", "call 555-123-4567", "x [at] web [dot] de", "é😀", "word", "+", "-", " ", " ", "\n"]
+    rows = [(i, "".join(rnd.choice(parts) + rnd.choice(["", " ", " "]) for _ in range(rnd.choice([1, 5, 20, 700])))) for i in range(120)]
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS)
+    free = model.thresholds
+    # what the trees select, before spans on base spans go: a scan of the same texts with no base kind found
+    proposed = pii._proposed(pii._text(df, "doc_id")).select("doc_id", F.expr(f"transform(filter(proposed, c -> {model.trees.sql('c', list(pii.FEATURES))} >= array({', '.join(f'{x!r}D' for x in free)})[c.g]), c -> struct(c.s, c.e))").alias("c"))
+    chosen = {r.doc_id: sorted({(x.s, x.e) for x in r.c}) for r in proposed.collect()}
+    clean = {r.doc_id: r.text for r in pii.redact(df, model).collect()}
+    for r in pii.scan(df, model).collect():
+        own = base(r.t)
+        want = [(s, e) for s, e in chosen[r.doc_id] if not any(b < e and s < f for _, b, f in own)]
+        assert [(x.s, x.e) for x in r.learned] == want and all(r.t[x.s : x.e] == x.m for x in r.learned)
+        last, out = 0, ""
+        for kind, s, e in merged(own + [("learned", *x) for x in want]):
+            out, last = out + r.t[last:s] + f"[{kind.upper()}]", e
+        assert clean[r.doc_id] == out + r.t[last:]
+    assert sum(map(len, chosen.values())) > 100
+
+
+def test_very_many_spans_in_one_text(spark, model):
+    text = "mail a@b.cd or (415) 555-0132 é " * 20_000
+    df = spark.createDataFrame([(1, text, "en", "s", 1)], DOCS)
+    began = time.time()
+    assert pii.redact(df, model).first().text == "mail [EMAIL] or [LEARNED] é " * 20_000
+    assert time.time() - began < 60
+
+
+# sentences written by hand, unlike those of the training rule: personal values of each, none in the others
+BY_HAND = [
+    ("You can ring Anna on (212) 555-0187 after six.", ["(212) 555-0187"]),
+    ("Fax 617-555-0143, ask for the night desk", ["617-555-0143"]),
+    ("his card 4539 1488 0343 6467 was declined twice", ["4539 1488 0343 6467"]),
+    ("SSN on file: 219-09-9999.", ["219-09-9999"]),
+    ("write to m.kowalski (at) uni-bremen (dot) de for a copy", ["m.kowalski (at) uni-bremen (dot) de"]),
+    ("Tel. 0171 555 0199 (evenings)", ["0171 555 0199"]),
+    ("Reservations: 800.555.0110", ["800.555.0110"]),
+    ("old number 303 555 0175, new one 303 555 0176", ["303 555 0175", "303 555 0176"]),
+    ("ping sales at example dot org about it", ["sales at example dot org"]),
+    ("mobile 07700 900123", ["07700 900123"]),
+    ("call +44 20 7946 0958 (office)", ["+44 20 7946 0958"]),
+    ("ISBN 978-3-16-148410-0, second printing", []),
+    ("In 1789-1799 the prices rose by 12.5 per cent", []),
+    ("build 10.4.1120 of 2021-11-30 fixed it", []),
+    ("coordinates 52.5200, 13.4050 and 48.8566, 2.3522", []),
+    ("order 8841-22 shipped in 3 boxes of 120", []),
+    ("It was 23:59:59 on 31/12/1999", []),
+    ("pi is 3.14159265358979 and e is 2.71828182845905", []),
+    ("the score was 3-2, then 6-4 6-3 7-5", []),
+    ("grid of 1024 x 768 or 1920 x 1080 pixels", []),
+    ("a loan of 1 250 000 over 240 months", []),
+    ("see pp. 112-119 and 204-209", []),
+    ("he looked at me dot by dot", []),
+    ("version 2.0.0-rc1, commit 4f2a91c", []),
+]
+
+
+def test_sentences_written_by_hand(spark, model):
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, (t, _) in enumerate(BY_HAND)], DOCS)
+    got = {r.doc_id: {x.m for x in r.base + r.learned} for r in pii.scan(df, model).collect()}
+    hits = sum(len(got[i] & set(want)) for i, (_, want) in enumerate(BY_HAND))
+    found, there = sum(map(len, got.values())), sum(len(want) for _, want in BY_HAND)
+    assert hits / found >= 0.9 and hits / there >= 0.9
+
+
 def test_empty_and_clashing_columns(spark, model):
     assert pii.digest(spark.createDataFrame([], DOCS), model).count() == 0
     df = spark.createDataFrame([(1, "a@b.cd", 5, "z", [1])], "doc_id long, text string, t int, base string, pieces array<int>")
