@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 # The only white space that separates words in the contracts: space and \t \n \v \f \r.
 WORD_BREAK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,21 +30,11 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
-def small_batches(spark: SparkSession, rows: int = 512, mb: int = 4) -> None:
-    """Arrow batches bounded by rows and by bytes, so very long texts cannot pile up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only in a local session that names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows; Spark bounds the bytes of what it sends, so long texts cannot pile up in a worker."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -58,11 +49,10 @@ def map_texts(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
 ) -> DataFrame:
     """``mapInArrow`` with per-task set-up: ``make()`` runs once in a task and returns the batch function."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in slices(batches):
             out = step(batch)
             if out is not None and out.num_rows:
                 yield out

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import narrow, small_batches
+from .common import narrow, slices
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -63,7 +63,7 @@ class Ids:
         self.merge = self._merges(path)
 
     def _merges(self, path: str):
-        """The same vocabulary in a faster library, if its file lies beside the first and it agrees on the alphabet."""
+        """The same vocabulary in a faster library, if its file lies beside the first and gives every token the same id."""
         import base64
         import os
 
@@ -75,6 +75,13 @@ class Ids:
 
         with open(ranked, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        # a byte's character in the vocabulary: itself if it is printable, else the next one from U+0100 on
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in shown]
+        letter = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+        ids = self.tokenizer.get_vocab()
+        if any(ids.get("".join(map(letter.__getitem__, token))) != rank for token, rank in ranks.items()):
+            return lambda unit: self.tokenizer.encode(unit, add_special_tokens=False).ids
         return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def _whole(self, text: str) -> bytes:
@@ -250,7 +257,6 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Da
     Repeated rows and null ids are packed as they come.  ``with_ids`` adds the ids (array<int>).
     An empty table gives an empty result; further columns are ignored.
     """
-    small_batches(docs.sparkSession)
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches):
@@ -259,7 +265,7 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Da
         sequence = base
 
         def rows():
-            for batch in batches:
+            for batch in slices(batches):
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     yield doc, encode(text) + _END_BYTES
 
