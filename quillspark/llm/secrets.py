@@ -1,35 +1,38 @@
 """Secret scans with format grammars inferred from labelled credentials.
 
-1. One pass over the whole texts finds the base spans and high-recall candidates: runs of credential
-   characters, at least 12 long, that mix letters and digits.  Only spans and values are stored.
+1. A pass over the whole texts finds the base spans and high-recall candidates: runs of credential characters, at
+   least 12 long, that mix letters and digits or cases, also those that reach beyond a base span they overlap.
 2. Base values, labelled by their kind, train one probabilistic automaton for each kind: the prefix tree
    of the values is reduced by merging states whose outgoing frequencies are compatible under
    Hoeffding's bound (red-blue order, merges folded to keep the automaton deterministic).
 3. The background is what non-secrets look like: names, dates and numbers that a seeded rule makes, and the
    candidates that overlap no base span, without those that resemble a labelled format against the made ones,
    so that unlabelled secrets do not teach it.
-4. Every candidate is scored by its log-likelihood a character under a format, less that under the
+4. A second pass scores every candidate by its log-likelihood a character under a format, less that under the
    background.  Each format has its own limit, set on labelled values and non-secrets that nothing was fitted
    on: no such non-secret passes, and nineteen of twenty such values do where the two can be told apart.
 
-Training takes at most ``SAMPLE`` distinct values a kind: those with the smallest hash.  Finding and
-scoring cover every text and candidate.
+Training takes at most ``SAMPLE`` distinct values a kind, those with the smallest hash among all of at most ``LONGEST``
+characters; each task of the first pass sends no more than that.  Finding and scoring cover every text and candidate of
+any length.  No value is written to storage: the texts are read twice instead.
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import math
 import random
 import re
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, narrow, stored
+from .common import map_texts, narrow, slices
 
 # Fixed patterns of the base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -39,6 +42,7 @@ KINDS = ("assign", "access", "hex", "learned")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SAMPLE = 300
+LONGEST = 256
 ALPHA = 0.05
 MADE = 1000  # non-secrets made by rule
 END = "$"
@@ -288,6 +292,33 @@ def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[
     ]
 
 
+MIXED = re.compile("[a-z][A-Z]|[A-Z]{2}[a-z]")
+
+
+def further(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
+    """Candidates beside those of ``candidates``: runs of letters in mixed case, and runs that lie partly in taken spans, not wholly."""
+    spans = sorted((s, e) for _, s, e, _ in taken)
+    starts = [s for s, _ in spans]
+    reach = list(itertools.accumulate((e for _, e in spans), max))
+    out = []
+    for m in CANDIDATE.finditer(text):
+        mixed = _DIGIT.search(m[0]) and _LETTER.search(m[0])
+        if not mixed and not MIXED.search(m[0]):
+            continue
+        s, e = m.span()
+        before = bisect.bisect_left(starts, e)
+        touches = before and reach[before - 1] > s
+        if not touches:
+            if not mixed:
+                out.append((s, e, m[0]))
+            continue
+        # within a single span it adds nothing
+        at = bisect.bisect_right(starts, s)
+        if not (at and reach[at - 1] >= e):
+            out.append((s, e, m[0]))
+    return out
+
+
 def _listed(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 
@@ -296,35 +327,53 @@ _SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 _SPAN_SQL = "array<struct<kind: string, start: bigint, end: bigint, value: string>>"
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans, candidates) of every row; candidates overlap no base span."""
+class _Smallest:
+    """The distinct values of the smallest hashes."""
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            spans, rest = [], []
-            for text in batch.column(1).to_pylist():
-                own = base_spans(text or "")
-                spans.append([dict(zip(("kind", "start", "end", "value"), x)) for x in own])
-                rest.append([dict(kind="learned", start=s, end=e, value=v) for s, e, v in candidates(text or "", own)])
-            return pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(spans, _SPAN), pa.array(rest, _SPAN)], ["doc_id", "spans", "candidates"]
-            )
+    def __init__(self, most: int) -> None:
+        self.most, self.held = most, {}
+        self.limit = 1 << 64
 
-        return step
+    def add(self, value: str) -> None:
+        h = xxhash.xxh64_intdigest(value)
+        if h < self.limit and len(value) <= LONGEST:
+            self.held[value] = h
+            if len(self.held) >= 2 * self.most:
+                self.cut()
 
-    return map_texts(narrow(docs, "doc_id", "text"), make, f"doc_id long, spans {_SPAN_SQL}, candidates {_SPAN_SQL}")
+    def cut(self) -> dict[str, int]:
+        best = sorted(self.held.items(), key=lambda x: (x[1], x[0]))[: self.most]
+        self.held = dict(best)
+        if len(best) == self.most:
+            self.limit = best[-1][1] + 1
+        return self.held
 
 
-def learn(spans: DataFrame, sample: int = SAMPLE) -> Formats:
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     """Formats from at most ``sample`` distinct values of each kind and of the background."""
 
-    def some(column: str, kind: str) -> list[str]:
-        values = spans.select(F.explode(column).alias("s")).where(F.col("s.kind") == kind)
-        values = values.select(F.substring("s.value", 1, 256).alias("v")).distinct()
-        return [r.v for r in values.orderBy(F.xxhash64("v"), "v").limit(sample).collect()]
+    def run(batches):
+        kept = {kind: _Smallest(sample) for kind in KINDS}
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                own = base_spans(text or "")
+                for kind, _, _, value in own:
+                    kept[kind].add(value)
+                for _, _, value in candidates(text or "", own):
+                    kept["learned"].add(value)
+        rows = [(kind, value, h - (1 << 63)) for kind, k in kept.items() for value, h in k.cut().items()]
+        if rows:
+            cols = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["kind", "value", "h"])
+
+    values = narrow(docs, "text").mapInArrow(run, "kind string, value string, h long").groupBy("kind", "value", "h").agg(F.lit(1).alias("one"))
+    first = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
+    found = values.withColumn("n", first).where(F.col("n") <= sample).select("kind", "value").collect()
+    by_kind = {kind: [r.value for r in found if r.kind == kind] for kind in KINDS}
+    return Formats({kind: v for kind, v in by_kind.items() if v and kind != "learned"}, by_kind["learned"])
+
 
-    labelled = {kind: v for kind in KINDS[:3] if (v := some("spans", kind))}
-    return Formats(labelled, some("candidates", "learned"))
+MEMO = 100_000  # scores that a task remembers
 
 
 def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
@@ -333,21 +382,31 @@ def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     Null text counts as empty.  Repeated rows and null ids are returned as they come; an empty table
     gives an empty result; further columns are ignored.  With no labelled value nothing is learned.
     """
-    spans = stored(found(docs), "secrets")
-    formats = formats or learn(spans)
+    formats = formats or learn(docs)
+    scored_type = pa.list_(pa.struct([*_SPAN.value_type, pa.field("score", pa.float64())]))
 
     def make():
+        memo: dict[str, float] = {}
+
+        def score(value: str) -> float:
+            if value not in memo:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                memo[value] = formats.score(value)
+            return memo[value]
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = []
-            for row in batch.column(2).to_pylist():
-                scored = [c | {"score": formats.score(c["value"])} for c in row]
-                out.append([c for c in scored if c["score"] >= formats.threshold])
-            kind = pa.list_(pa.struct([*_SPAN.value_type, pa.field("score", pa.float64())]))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["doc_id", "spans", "learned"])
+            spans, learned = [], []
+            for text in batch.column(1).to_pylist():
+                own = base_spans(text or "")
+                spans.append([dict(zip(("kind", "start", "end", "value"), x)) for x in own])
+                every = sorted(candidates(text or "", own) + further(text or "", own))
+                learned.append([dict(kind="learned", start=s, end=e, value=v, score=x) for s, e, v in every if (x := score(v)) >= formats.threshold])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, _SPAN), pa.array(learned, scored_type)], ["doc_id", "spans", "learned"])
 
         return step
 
-    return map_texts(spans, make, f"doc_id long, spans {_SPAN_SQL}, learned {_SPAN_SQL[:-2]}, score: double>>")
+    return map_texts(narrow(docs, "doc_id", "text"), make, f"doc_id long, spans {_SPAN_SQL}, learned {_SPAN_SQL[:-2]}, score: double>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from quillspark.llm import secrets
+from quillspark.llm import common, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -83,3 +83,39 @@ def test_scan_adds_unlabelled_secrets_of_labelled_formats(spark):
         df = spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)
         learned = {x.value for r in secrets.scan(df).collect() for x in r.learned}
         assert len(bare & learned) >= 0.85 * len(bare) and not learned - bare
+
+
+def test_candidates_beside_the_plain_ones():
+    hexa = "0123456789abcdef0123"
+    rows = [
+        (f"see x_{hexa}_Zz now", [f"x_{hexa}_Zz"]),  # reaches beyond a base span
+        (f"{hexa} alone", []),  # is one
+        (f'token="{hexa}-tail" x', []),  # lies within one
+        ("qWkLmRtYpOnB stands", ["qWkLmRtYpOnB"]),  # letters in mixed case
+        ("Responsibilities and RESPONSIBILITY and responsibility", []),
+        ("Ab3dEf6hIj9l is plain", []),  # a plain candidate
+        ("", []),
+    ]
+    for text, want in rows:
+        assert [v for _, _, v in secrets.further(text, secrets.base_spans(text))] == want, text
+    long = f"x_{hexa}_Zz " * 50_000
+    assert len(secrets.further(long, secrets.base_spans(long))) == 50_000
+
+
+def test_samples_are_the_same_however_rows_lie(spark):
+    rnd = random.Random(6)
+    rows = [(i, f"password={''.join(rnd.choice('abcdef0123456789XY') for _ in range(20))} and Some-Name-{i}-of-it") for i in range(900)]
+    df = spark.createDataFrame([(d, t, None, None, 1) for d, t in rows] + [(None, "token=" + "a1B2" * 200, None, None, 1)], DOCS)
+    a, b = (secrets.learn(df.repartition(n), sample=50) for n in (1, 7))
+    assert a.limits == b.limits and a.limits and a.score("password") == b.score("password")
+    kept = secrets._Smallest(50)
+    values = {m.group(2) for _, t in rows for m in secrets.ASSIGN.finditer(t)}
+    for v in sorted(values):
+        kept.add(v)
+    assert sorted(kept.cut()) == sorted(sorted(values, key=lambda v: (secrets.xxhash.xxh64_intdigest(v), v))[:50])
+
+
+def test_no_value_is_written(spark, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda _: 1 / 0)
+    df = spark.createDataFrame([(1, "password=abcdef0123456789 x", None, None, 1)], DOCS)
+    assert secrets.digest(secrets.scan(df)).count() == 1
