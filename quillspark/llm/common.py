@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..storage import shared_dir
 
@@ -46,9 +47,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_texts(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType
 ) -> DataFrame:
-    """``mapInArrow`` with per-task set-up: ``make()`` runs once in a task and returns the batch function."""
+    """``mapInArrow`` with per-task set-up: ``make()`` runs once in a task and returns the batch function.
+
+    A function that keeps the columns as they are is given by the table's own schema; columns then may have any name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
@@ -57,4 +61,7 @@ def map_texts(
             if out is not None and out.num_rows:
                 yield out
 
+    if isinstance(schema, StructType):
+        plain = StructType([StructField(f"c{n}", f.dataType, f.nullable) for n, f in enumerate(schema)])
+        return df.toDF(*plain.names).mapInArrow(run, plain).toDF(*schema.names)
     return df.mapInArrow(run, schema)

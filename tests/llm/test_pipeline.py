@@ -2,7 +2,7 @@ import random
 import re
 
 import corpus_pipeline
-from quillspark.llm import decontam, packing, quality, simhash
+from quillspark.llm import decontam, packing, quality, secrets, sharding, simhash, tokens
 from test_decontam import brute
 from test_pii import base
 from test_quality import corpus
@@ -52,6 +52,51 @@ def test_stages_equal_brute_force(spark, tmp_path):
     assert got == want and any("[EMAIL]" in (clean(t) or "") for _, t in kept)
 
 
+CLASHES = ("row", "key", "k", "i", "doc", "hits", "t", "base", "fp", "ids", "score", "shard", "lines", "a.b")
+
+
+def with_clashes(df):
+    return df.selectExpr("*", *[f"doc_id as `{c}`" for c in CLASHES])
+
+
+def test_stages_take_empty_tables_and_columns_of_any_name(spark, tmp_path):
+    docs, labels = corpus(60)
+    item = " ".join(f"item{k}" for k in range(30))
+    docs += [(500, item, "en", "s", 9), (501, "mail a@b.cd " + docs[1][1], "en", "s", 9), (None, None, None, None, None)]
+    folder = str(tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    plain = spark.createDataFrame(docs, DOCS)
+    for name, stage in corpus_pipeline.STAGES:
+        wide = stage(spark, with_clashes(plain), folder)
+        got, want = wide.collect(), stage(spark, plain, folder).collect()
+        if name != "packing":
+            assert wide.columns == with_clashes(plain).columns
+            assert all(r[c] == r.doc_id for r in got for c in CLASHES)
+        assert sorted((repr(r.doc_id) for r in got)) == sorted(repr(r.doc_id) for r in want), name
+        assert stage(spark, with_clashes(plain).limit(0), folder).count() == 0
+
+
+def test_operators_ignore_columns_of_any_name(spark):
+    docs, labels = corpus(30)
+    d = spark.createDataFrame(docs, DOCS)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, docs[1][1], 5)], "item_id long, text string, doc_id long")
+    for run in (
+        lambda x: quality.assess(x, lab.withColumn("text", lab.doc_id)),
+        lambda x: decontam.contaminated(x, items),
+        lambda x: simhash.near_duplicate_groups(x),
+        lambda x: sharding.assign(x),
+        lambda x: tokens.token_counts(x),
+        lambda x: secrets.digest(secrets.scan(x)),
+    ):
+        one, two = run(d), run(with_clashes(d))
+        assert one.columns == two.columns and sorted(map(repr, one.collect())) == sorted(map(repr, two.collect()))
+        assert run(with_clashes(d).limit(0)).count() == 0
+    shared = sharding.interleave(with_clashes(d).drop("shard"))
+    assert shared.count() == 30 and {*CLASHES} <= {*shared.columns}
+
+
 def test_stages_are_named_functions_and_keep_columns():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash", "decontam", "pii", "packing"]
     assert all(re.fullmatch("[a-z_]+", f.__name__) for _, f in corpus_pipeline.STAGES) and simhash.RADIUS == 2 and decontam.THRESHOLD == 0.8
