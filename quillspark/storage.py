@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if spark.sparkContext.applicationId not in _OWN:
         _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
