@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import quoted, stored
 
 SHARDS = 16
 SEED = "quill-7"
@@ -36,7 +36,7 @@ def interleave(
     ``shard`` or ``slot`` are replaced.  An empty table gives an empty result.
     """
     names = [c for c in df.columns if c not in ("shard", "slot")]
-    row = F.struct(*[F.col(c) for c in names])
+    row = F.struct(*[F.col(quoted(c)) for c in names])
     key = F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]).cast("binary"))
     keyed = stored(
         df.select(
@@ -49,7 +49,9 @@ def interleave(
         ),
         "keyed",
     )
-    sizes = keyed.groupBy("stratum").agg(F.count("*").alias("n"))
+    # as a written table its size is known: Spark broadcasts a small one and no row is dealt by its source, while a large
+    # one is joined by a shuffle whose hot partitions can be split
+    sizes = stored(keyed.groupBy("stratum").agg(F.count("*").alias("n")), "sizes")
     total = keyed.count()
     bucket = bucket or max(LEAST_BUCKET, 4 * math.isqrt(total))
     part = F.floor(F.col("u") * F.ceil(F.col("n") / bucket))
