@@ -31,8 +31,19 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+def small_batches(spark: SparkSession, rows: int = 512, mb: int = 4) -> None:
+    """Lower what Spark sends to a worker at once, so that very long texts cannot pile up there.
+
+    The settings are the session's and hold for later queries too; they are only ever lowered, to the same values.
+    """
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``rows`` rows; Spark bounds the bytes of what it sends, so long texts cannot pile up in a worker."""
+    """Batches of at most ``rows`` rows, whatever a session that raised its settings again sends."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
@@ -54,6 +65,8 @@ def map_texts(
     A function that keeps the columns as they are is given by the table's own schema; columns then may have any name.
     """
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in slices(batches):

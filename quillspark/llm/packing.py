@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import narrow, slices
+from .common import narrow, slices, small_batches
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, 2048)
@@ -257,6 +257,7 @@ def pack(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> Da
     Repeated rows and null ids are packed as they come.  ``with_ids`` adds the ids (array<int>).
     An empty table gives an empty result; further columns are ignored.
     """
+    small_batches(docs.sparkSession)
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 
     def run(batches):

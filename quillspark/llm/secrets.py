@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, narrow, slices
+from .common import map_texts, narrow, slices, small_batches
 
 # Fixed patterns of the base rules, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -366,6 +366,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Formats:
             cols = zip(*rows)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()))], ["kind", "value", "h"])
 
+    small_batches(docs.sparkSession)
     values = narrow(docs, "text").mapInArrow(run, "kind string, value string, h long").groupBy("kind", "value", "h").agg(F.lit(1).alias("one"))
     first = F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))
     found = values.withColumn("n", first).where(F.col("n") <= sample).select("kind", "value").collect()
