@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, licenses, packing, pii, quality, repair, rules, secrets, sharding, simhash, tokens
+from . import alignment, decontam, licenses, packing, pii, quality, repair, rules, secrets, sharding, simhash, tokens
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
@@ -65,6 +69,7 @@ QUERIES = {
     "op9_rules": op9_rules,
     "op10_pii": op10_pii,
     "op12_repair": op12_repair,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {
     "op3_licenses": licenses.oracle_sql(),
