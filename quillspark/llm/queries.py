@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, decontam, licenses, packing, pii, quality, repair, rules, secrets, sharding, simhash, tokens
+from . import alignment, decontam, licenses, packing, pii, quality, repair, rules, runindex, secrets, sharding, simhash, tokens
 from .common import table
 
 
@@ -49,6 +49,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_runindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_rules": op9_rules,
     "op10_pii": op10_pii,
+    "op11_runindex": op11_runindex,
     "op12_repair": op12_repair,
     "op13_alignment": op13_alignment,
 }
