@@ -34,10 +34,12 @@ def narrow(df: DataFrame, *names: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 512, mb: int = 4) -> None:
     """Lower what Spark sends to a worker at once, so that very long texts cannot pile up there.
 
-    The settings are the session's and hold for later queries too; they are only ever lowered, to the same values.
+    The settings are the session's and hold for later queries too, as Spark reads them when a query runs; they are only
+    ever lowered, to the same values.  Sizes may have a unit, as Spark takes them.
     """
+    size_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
-        now = int(spark.conf.get(f"spark.sql.execution.arrow.{name}").rstrip("b"))
+        now = size_of(spark.conf.get(f"spark.sql.execution.arrow.{name}")) if name == "maxBytesPerBatch" else int(spark.conf.get(f"spark.sql.execution.arrow.{name}"))
         if not 0 < now <= most:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 

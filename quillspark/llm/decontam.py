@@ -5,7 +5,8 @@ own number of MinHash bins (one permutation, one row a band), at least four time
 partition's size bound and the longest item.  A shingle then keeps its place as minimum of its bin
 with probability >= 0.88 on either side, so an item of which at least ten shingles lie in a
 document shares no bin with it with probability below 1e-6.  Items with fewer than ``SHORT``
-shingles have all their shingles as bands, an exact way.  Every candidate is verified by the exact
+shingles have all their shingles as bands, an exact way; an item of fewer than five words is one shingle of
+its own width, which is looked up among all a document's runs of as many words.  Every candidate is verified by the exact
 share of the item's word shingles in the whole document.
 
 The pass over the documents is map-only: no document row is shuffled.  Items are set against all rows in
@@ -77,20 +78,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_hashes(text: str | None, powers: _Powers) -> np.ndarray:
-    """64-bit hash of every shingle of the text, in order, without building a word string."""
+def shingle_hashes(text: str | None, powers: _Powers, widths: tuple[int, ...] = (SHINGLE,)) -> list[np.ndarray]:
+    """64-bit hashes of the text's runs of each number of words, in order, without building a word string.
+
+    A text of fewer words than ``SHINGLE`` has one run for it: all its words.
+    """
     data = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
     inside = _KEEP[data]
     edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64)] * len(widths)
     up, down = powers.get(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
     word = _mix((total[end] - total[start]) * down[start])
+    return [_runs(word, min(w, len(word)) if w == SHINGLE else w) for w in widths]
+
+
+def _runs(word: np.ndarray, width: int) -> np.ndarray:
     n = len(word)
-    width = min(SHINGLE, n)
+    if n < width:
+        return np.zeros(0, np.uint64)
     out = word[: n - width + 1] * _STEP[0]
     for k in range(1, width):
         out = out + word[k : n - width + 1 + k] * _STEP[k]
@@ -116,7 +125,9 @@ class Index:
         self.powers = _Powers()
         self.ids = [i for i, _ in items]
         self.shingles = [shingles_of(words_of(t)) for _, t in items]
-        self.hashes = [np.unique(shingle_hashes(t, self.powers)) for _, t in items]
+        self.hashes = [np.unique(shingle_hashes(t, self.powers)[0]) for _, t in items]
+        # words of the items under five words
+        self.widths = tuple(sorted({len(x) for s in self.shingles for x in s if len(x) < SHINGLE}))
         self.longest = max([len(h) for h in self.hashes], default=1)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -149,14 +160,15 @@ class Index:
 
     def find(self, text: str | None, threshold: float) -> list[tuple[int, int, int]]:
         """(item number, shingles found, shingles of the item) for items contained to ``threshold``."""
-        hashes = shingle_hashes(text, self.powers)
+        hashes, *narrower = shingle_hashes(text, self.powers, (SHINGLE, *self.widths))
         if not len(hashes):
             return []
         log_bins, keys, owner = self.table(len(hashes))
-        near = self._owners(keys, owner, minima(hashes, log_bins)) | self._owners(*self.short(), hashes)
+        near = self._owners(keys, owner, minima(hashes, log_bins)) | self._owners(*self.short(), np.concatenate([hashes, *narrower]))
         if not near:
             return []
-        own = shingles_of(words_of(text))
+        words = words_of(text)
+        own = shingles_of(words).union(*({tuple(words[i : i + w]) for i in range(len(words) - w + 1)} for w in self.widths))
         found = [(i, len(self.shingles[i] & own), len(self.shingles[i])) for i in sorted(near)]
         return [x for x in found if x[2] and x[1] >= threshold * x[2] - 1e-9]
 
@@ -192,7 +204,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """(doc_id, item_id, n_found, n_shingles, containment): items of which a share >= threshold lies in a row.
 
     Words are runs of ASCII letters and digits and of characters beyond ASCII, in lower case.  Null or
-    wordless texts match nothing.  Items under five words match only rows with exactly those words.
+    wordless texts match nothing.  Items under five words match rows in which their words stand side by side.
     Repeated rows and repeated items are all reported.  Empty inputs give an empty result.
     """
     out = None
@@ -252,7 +264,9 @@ bw AS (
   SELECT DISTINCT item_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM bw
 ), n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id),
-f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN b USING (s) GROUP BY doc_id, item_id)
+few AS (SELECT item_id, array_to_string(ws, ' ') AS s FROM bw WHERE len(ws) BETWEEN 1 AND 4),
+f AS (SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN b USING (s) WHERE item_id NOT IN (SELECT item_id FROM few) GROUP BY doc_id, item_id
+  UNION ALL SELECT doc_id, item_id, 1 FROM w JOIN few ON contains(' ' || array_to_string(w.ws, ' ') || ' ', ' ' || few.s || ' '))
 SELECT doc_id, item_id, n_found, n_shingles, n_found::double / n_shingles AS containment
 FROM f JOIN n USING (item_id) WHERE n_found >= 0.8 * n_shingles - 1e-9
 """

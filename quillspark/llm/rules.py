@@ -2,7 +2,7 @@ r"""Quality rules with cross-document line frequency, with DataFrame functions o
 
 Base rules look at one document.  The method looks across documents: lines are normalised (lower case, white
 space collapsed) and hashed, the distinct documents of each (host, line) are counted, lines above the
-host's limit are boilerplate, and a document is rejected when boilerplate makes up most of it.
+host's limit, max(LEAST, SHARE of its distinct documents), are boilerplate, and a document is rejected when boilerplate makes up most of it.
 
 Documents of a host are distinct if their sets of lines are: exact copies count once, near copies each on their
 own, so a host's many edited copies of one text deplete each other.  Host is the column ``source``.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted, stored
 
-LEAST = 50  # documents of a host that may share a line, whatever the host's size
+LEAST = 3  # documents that may share a line in a host of few; in larger ones the share decides
 SHARE = 0.01  # of the host's distinct documents
 DEPLETED = 0.5  # share of a document's characters, in lines with a word, that must remain
 MIN_WORDS = 50

@@ -10,7 +10,8 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 def brute(docs, items, threshold=0.8):
     out = []
     for d, t in docs:
-        own = decontam.shingles_of(decontam.words_of(t))
+        words = decontam.words_of(t)
+        own = {tuple(words[a : a + n]) for n in range(1, 6) for a in range(len(words) - n + 1)}
         for i, s in items:
             shingles = decontam.shingles_of(decontam.words_of(s))
             if shingles and len(own & shingles) >= threshold * len(shingles) - 1e-9:
@@ -22,7 +23,7 @@ def corpus():
     rnd = random.Random(11)
     word = lambda: "".join(rnd.choice("abcdé") for _ in range(4))
     items = [(i, " ".join(word() for _ in range(rnd.randint(5, 60)))) for i in range(60)]
-    items += [(100, "two words"), (101, ""), (102, None), (103, items[0][1]), (None, items[1][1])]
+    items += [(100, "two words"), (104, "Abcd"), (105, "one, two three four"), (101, ""), (102, None), (103, items[0][1]), (None, items[1][1])]
     docs = [(i, " ".join(word() for _ in range(rnd.choice([3, 40, 300])))) for i in range(60)]
     for i in range(60):
         piece = items[i][1].upper().split()
@@ -31,7 +32,7 @@ def corpus():
         filler = [word() for _ in range(rnd.choice([0, 50, 3000]))]
         at = rnd.randint(0, len(filler))
         docs.append((1000 + i, ", ".join(filler[:at] + piece + filler[at:])))
-    docs += [(2000, None), (2001, ""), (2002, "Two, words!"), (2003, "..."), (1000, docs[60][1]), (None, items[3][1])]
+    docs += [(2000, None), (2001, ""), (2002, "Two, words!"), (2003, "..."), (2004, "not two  WORDS alone"), (2005, "two more words"), (2006, "zero one two three four five six"), (2007, "one two three"), (1000, docs[60][1]), (None, items[3][1])]
     docs.append((3000, " ".join(word() for _ in range(60000)) + " " + items[7][1]))
     return docs, items
 
@@ -58,8 +59,8 @@ def test_empty_tables(spark):
 
 def test_vector_hashes_follow_words():
     powers = decontam._Powers()
-    a = decontam.shingle_hashes("One two, three FOUR five. six", powers)
-    b = decontam.shingle_hashes("zero one two three four five six", powers)
+    a = decontam.shingle_hashes("One two, three FOUR five. six", powers)[0]
+    b = decontam.shingle_hashes("zero one two three four five six", powers)[0]
     assert len(a) == 2 and len(b) == 3 and np.array_equal(a, b[1:])
 
 

@@ -31,3 +31,15 @@ def test_shortcut_is_proven_and_memo_is_bounded():
 
 def test_empty_table(spark):
     assert tokens.token_counts(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_batch_settings_may_have_units(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, kept in (("64m", str(4 << 20)), ("1m", "1m"), ("2048b", "2048b")):
+            spark.conf.set(name, given)
+            assert tokens.token_counts(spark.createDataFrame([(1, "a b", None, None, 1)], DOCS)).first().n_tokens == 2
+            assert spark.conf.get(name) == kept
+    finally:
+        spark.conf.set(name, before)
