@@ -20,7 +20,6 @@ window), so it is spread over tasks and no match is lost.  Copies are pre-aggreg
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, slices, small_batches, stored
+from .common import narrow, release, slices, small_batches, stored
 
 WINDOW = 50
 ANCHOR = 16
@@ -368,14 +367,16 @@ def halves(anchor: int, body: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _parted(entries: DataFrame) -> DataFrame:
-    """Entries with their group: the anchor, or where it is hot the halves."""
+    """Entries of hot anchors (first column) cut into halves, whose group stands for the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = []
-            for anchor, ids, version, start, body, hot in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = halves(anchor, body) if hot else [(anchor, 0, body)]
-                out += [(g, ids, version, [s + shift for s in start], b) for g, shift, b in parts]
+            hot = batch.filter(batch.column(0))
+            for _, anchor, ids, version, start, body in zip(*(c.to_pylist() for c in hot.columns)):
+                out += [(g, ids, version, [s + shift for s in start], b) for g, shift, b in halves(anchor, body)]
+            if not out:
+                continue
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["anchor", "id", "version", "start", "body"])
 
@@ -471,14 +472,15 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     dealt = rows.repartition(F.when(F.col("settled") == 1, F.xxhash64("id")).otherwise(F.col("anchor")))
     chosen = stored(_sorted_out(dealt.sortWithinPartitions("settled", "anchor", "piece", "id"), hot), "pieces")
     del rows, dealt
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # so that Spark deletes the files of the shuffle that has been written out
+    release(spark)
     keys = chosen.where("id is not null").groupBy("id").agg(F.collect_list("key").alias("keys"))
     crowded = chosen.where("id is null").select(F.col("key").alias("anchor"), F.lit(True).alias("hot"))
     # both branches read the same shuffle of the texts
     joined = docs.join(keys, "id", "left")
     entries = _entries(joined.select("id", "text", "keys"))
-    grouped = _parted(entries.join(crowded, "anchor", "left").select(*entries.columns, F.coalesce("hot", F.lit(False)).alias("hot")))
-    marks = _matched(grouped.repartition("anchor").sortWithinPartitions("anchor", "id"))
+    # entries are dealt once; only those of crowded anchors are parted and dealt again
+    dealt = entries.repartition("anchor").join(crowded, "anchor", "left").select("hot", *entries.columns)
+    calm, parted = dealt.where("hot is null").drop("hot"), _parted(dealt)
+    marks = _matched(calm.sortWithinPartitions("anchor", "id")).unionByName(_matched(parted.repartition("anchor").sortWithinPartitions("anchor", "id")))
     marks = marks.groupBy("id").agg(F.collect_list(F.struct("version", "first", "end")).alias("marks"))
     return _kept(joined.join(marks, "id", "left").select("id", "text", "keys", "marks"))
