@@ -11,6 +11,34 @@ from test_simhash import naive_components
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def near_groups(rows):
+    """The smallest id that each row reaches over op5's links or over a Jaccard similarity of 0.8 of 5-word shingles."""
+    group = {i: c for i, _, c in naive_components(rows)}
+    words = {i: (t or "").lower().split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    return group
+
+
+def test_near_copies_are_caught(spark):
+    docs, _ = corpus(120)
+    rnd = random.Random(31)
+    rows = [(i, t) for i, t, *_ in docs[:120] if t and len(t.split()) > 60]
+    copies = []
+    for i, t in rows:
+        words = t.split()
+        words[rnd.randrange(len(words))] = "edited"
+        copies.append((5000 + i, " ".join(words)))
+    d = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows + copies], DOCS)
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()}
+    groups = near_groups(rows + copies)
+    assert left == {i for i, g in groups.items() if i == g} and sum(5000 + i in left for i, _ in rows) <= 0.1 * len(rows)
+
+
 def test_stages_equal_brute_force(spark, tmp_path):
     rnd = random.Random(12)
     docs, labels = corpus(200)
@@ -33,7 +61,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
     d = spark.read.parquet(f"{folder}/documents.parquet")
     scores = {r.doc_id: r.score for r in quality.assess(d, spark.read.parquet(f"{folder}/labels.parquet")).collect()}
     kept = [(i, t) for i, t, *_ in docs if scores[i] >= 0.3]
-    groups = {i: c for i, _, c in naive_components(kept)}
+    groups = near_groups(kept)
     kept = [(i, t) for i, t in kept if groups[i] == i]
     bad = {x[0] for x in brute(kept, items)}
     kept = [(i, t) for i, t in kept if i not in bad]
