@@ -18,8 +18,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = None) -> DataFrame:
-    """One document of each near-duplicate group stays; by default of the groups of op5, ``similarity`` widens them."""
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, similarity: float | None = 0.8) -> DataFrame:
+    """One document of each near-duplicate group stays: of op5's groups, widened by that similarity of 5-word shingle sets."""
     return simhash.drop_near_duplicates(docs, similarity)
 
 
