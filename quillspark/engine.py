@@ -14,6 +14,7 @@ from .functions import prompts as P
 from .functions import text as T
 from .functions import vectors as V
 from .operators import chunking, search, sync
+from .operators.lists import VectorLists
 from .providers import Offline
 from .sources import files
 from .sources.index import ORDER, Index
@@ -167,15 +168,24 @@ class FlatEngine:
         )
         self.index.commit(made, loaded.select(F.col("source_file").alias("source"), F.lit(None).cast("string").alias("digest"), F.lit("flat").alias("config")))
         n = self.index.manifest().agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]
+        if n:
+            self.lists().build(self.index.records().select("text", "source", "seq", "embedding"), "l2")
         loaded.unpersist()
         skipped.unpersist()
         if say:
             say(f"[flat] Indexed {n} chunk(s).")
         return n
 
+    def lists(self) -> VectorLists:
+        """The records in inverted lists by squared distance, which lie beside the index's version."""
+        return VectorLists(self.spark, joined(self.index.folder, self.index.version(), "lists"))
+
     def answer(self, question: str) -> tuple[str, list[str]]:
-        row = self.spark.createDataFrame([(question,)], "question string").select(self.provider.embed("question").alias("q")).first()
-        hits = search.nearest(self.index.records(), row.q, self.settings.top_k).select("text", "source", "distance", "seq")
+        if self.index.is_empty():
+            return P.NOT_FOUND_FLAT, []
+        asked = self.spark.createDataFrame([(0, question)], "qid long, question string").select("qid", self.provider.embed("question").alias("query"))
+        found, _ = self.lists().exact(asked, self.settings.top_k)
+        hits = found.select("text", "source", F.col("score").alias("distance"), "seq")
         one = hits.agg(P.joined_in_order(F.struct("distance", "seq"), "text").alias("context"), P.distinct_sources("source").alias("sources"), F.count("*").alias("n"))
         if not (got := one.first()).n:
             return P.NOT_FOUND_FLAT, []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,41 +25,85 @@ def check_sizes(size: int, overlap: int) -> None:
         raise ValueError(f"overlap must lie between 0 and the chunk size: {overlap}, {size}")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hard_split(paragraph: Column, size: int, overlap: int) -> Column:
-    """Slices of ``size`` code points in steps of ``size - overlap``."""
-    starts = F.sequence(F.lit(0), F.length(paragraph) - 1, F.lit(size - overlap))
-    return F.transform(starts, lambda i: paragraph.substr(i + 1, F.lit(size)))
+    """Slices of ``size`` code points in steps of ``size - overlap``, found in one pass over the paragraph."""
+    return F.regexp_extract_all(paragraph, F.lit(f"(?s)(?=(.{{1,{size}}})).{{1,{size - overlap}}}"), F.lit(1))
+
+
+def _prefix_sums(values: Column) -> Column:
+    """0 and the sums of the first 1, 2, ... values, by doubling the summed span."""
 
+    def doubled(x: Column, span: Column) -> Column:
+        return F.transform(x, lambda v, i: v + F.when(i >= span, F.get(x, i - span)).otherwise(F.lit(0)))
 
-def _flush(pending: Column) -> Column:
-    return F.when(pending == "", F.array().cast("array<string>")).otherwise(F.array(pending))
+    spans = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size(values).cast("long"))) - 1), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    return F.aggregate(spans, F.concat(F.array(F.lit(0)), values), doubled)
 
 
 def packed(paras: Column, size: int, overlap: int) -> Column:
-    """Paragraphs packed greedily, in order, into pieces of at most ``size`` code points."""
-
-    def step(a: Column, p: Column) -> Column:
-        done, pending = a["done"], a["pending"]
-        fits = F.length(pending) + F.length(p) + 1 <= size
-        long = F.length(p) > size
-        joined = F.when(pending == "", p).otherwise(F.concat(pending, F.lit("\n"), p))
-        flushed = F.concat(done, _flush(pending))
-        split = F.concat(flushed, F.when(long, hard_split(p, size, overlap)).otherwise(F.array().cast("array<string>")))
+    """Paragraphs packed greedily, in order, into pieces of at most ``size`` code points.
+
+    Where a piece that starts at a paragraph ends is found by binary search in prefix sums of the lengths; the starts that
+    are reached from the first paragraph are gathered by jumping along these ends, twice as far each time.  So a text of n
+    paragraphs takes n log n steps, and its characters are copied once.
+    """
+    most = F.lit((size // 2 + 1).bit_length())  # a piece has half as many paragraphs as characters at most
+
+    def cut(t: Column) -> Column:
+        n = F.size(t["p"])
+
+        def end(length: Column, i: Column) -> Column:
+            def further(j: Column, step: Column) -> Column:
+                return F.when((j + step <= n) & (F.get(t["sums"], j + step) <= F.get(t["sums"], i) + size + 1), j + step).otherwise(j)
+
+            return F.when(length > size, i + 1).otherwise(F.aggregate(t["steps"], i + 1, further))
+
+        return F.concat(F.transform(t["lengths"], end), F.array(n))
+
+    def jumped(a: Column, _: Column) -> Column:
         return F.struct(
-            F.when(fits, done).when(long, split).otherwise(flushed).alias("done"),
-            F.when(fits, joined).when(long, F.lit("")).otherwise(p).alias("pending"),
+            F.transform(a["to"], lambda j: F.get(a["to"], j)).alias("to"),
+            F.concat(a["at"], F.transform(a["at"], lambda i: F.get(a["to"], i))).alias("at"),
+        )
+
+    def pieces(t: Column, ends: Column) -> Column:
+        n = F.size(t["p"])
+        starts = F.aggregate(
+            F.sequence(F.lit(1), F.length(F.bin(n.cast("long")))), F.struct(ends.alias("to"), F.array(F.lit(0)).alias("at")), jumped, lambda a: a["at"]
+        )
+
+        def piece(i: Column) -> Column:
+            joined = F.array_join(F.slice(t["p"], i + 1, F.get(ends, i) - i), "\n")
+            return F.when(F.get(t["lengths"], i) > size, hard_split(F.get(t["p"], i), size, overlap)).otherwise(F.array(joined))
+
+        return F.flatten(F.transform(F.filter(starts, lambda i: i < n), piece))
+
+    def measured(p: Column) -> Column:
+        powers = F.sequence(F.least(F.length(F.bin(F.size(p).cast("long"))), most) - 1, F.lit(0), F.lit(-1))
+        steps = F.transform(powers, lambda k: F.call_function("shiftleft", F.lit(1), k))
+        return let(
+            F.transform(p, lambda x: F.length(x)),
+            lambda n: F.struct(p.alias("p"), n.alias("lengths"), _prefix_sums(F.transform(n, lambda x: x + 1)).alias("sums"), steps.alias("steps")),
         )
 
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("pending"))
-    return F.aggregate(paras, start, step, lambda a: F.concat(a["done"], _flush(a["pending"])))
+    return let(let(paras, measured), lambda t: let(cut(t), lambda ends: pieces(t, ends)))
 
 
 def overlapped(pieces: Column, overlap: int) -> Column:
     """Each piece after the first starts with the tail of the piece before it, before that had a tail itself."""
-    return F.transform(
-        pieces,
-        lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.right(F.get(pieces, i - 1), F.lit(overlap)), F.lit("\n"), c)),
-    )
+
+    def tailed(all_pieces: Column) -> Column:
+        return F.transform(
+            all_pieces,
+            lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.right(F.get(all_pieces, i - 1), F.lit(overlap)), F.lit("\n"), c)),
+        )
+
+    return let(pieces, tailed)
 
 
 def chunk_id(source: Column | str, index: Column | str) -> Column:

@@ -50,11 +50,14 @@ class _Best:
         self.parts: list[pa.Table] = []
         self.held = self.full = 0
 
-    def add(self, scores: np.ndarray, ok: np.ndarray, rows: pa.RecordBatch) -> None:
-        """Scores (vectors x questions) of rows that lie in the tie order; ``ok`` marks those that count."""
+    def add(self, scores: np.ndarray, ok: np.ndarray, rows: pa.RecordBatch, questions: np.ndarray | None = None) -> None:
+        """Scores (vectors x questions) of rows that lie in the tie order; ``ok`` marks those that count.
+
+        ``questions`` numbers the columns, if they are not all questions.
+        """
         if not self.k:
             return
-        s = np.where(ok & (scores >= self.least), scores, -np.inf)
+        s = np.where(ok & (scores >= (self.least if questions is None else self.least[questions])), scores, -np.inf)
         if len(s) > self.k:
             bar = np.partition(s, len(s) - self.k, axis=0)[len(s) - self.k]
             above, level = s > bar, s == bar
@@ -64,7 +67,8 @@ class _Best:
         at, q = np.nonzero(take & (s > -np.inf))
         if len(at):
             table = pa.Table.from_batches([rows]).take(pa.array(at))
-            self.parts.append(table.append_column("_q", pa.array(q, pa.int64())).append_column("_score", pa.array(s[at, q])))
+            number = q if questions is None else questions[q]
+            self.parts.append(table.append_column("_q", pa.array(number, pa.int64())).append_column("_score", pa.array(s[at, q])))
             self.held += len(at)
             if self.held > 2 * self.full + 4096:
                 self.settle()

@@ -18,6 +18,7 @@ from ..functions import prompts as P
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, search, sync
+from ..operators.lists import VectorLists
 from ..providers import Offline, in_batches
 from ..sources.files import READERS, csv_text, docx_text, parse_binary, pdf_text, text_of
 from ..sources.index import Index
@@ -263,17 +264,44 @@ def search_default_threshold(spark, sf_dir):
     return search.top(vectors(spark, sf_dir), first_vector(spark, sf_dir), 5, 0.55).select(F.col("seq").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
-@query("""WITH p AS (SELECT q.vec_id AS qid, e.vec_id AS vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) AS score
+_BATCH_SQL = """WITH p AS (SELECT q.vec_id AS qid, e.vec_id AS vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 6) AS score
   FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
 SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id)::int AS rank FROM p WHERE score >= 0.3
-QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 5""")
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 5"""
+
+
+def _vector_questions(all_vectors: DataFrame) -> DataFrame:
+    return all_vectors.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.col("embedding").alias("query"))
+
+
+@query(_BATCH_SQL)
 def batch_retrieve(spark, sf_dir):
     all_vectors = vectors(spark, sf_dir)
-    asked = all_vectors.where("seq % 20 = 0").select(F.col("seq").alias("qid"), F.col("embedding").alias("query"))
-    hits = search.batch_top(all_vectors, asked, 5, 0.3, digits=6)
+    hits = search.batch_top(all_vectors, _vector_questions(all_vectors), 5, 0.3, digits=6)
     return hits.select("qid", F.col("seq").alias("vec_id"), "score", "rank")
 
 
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[VectorLists, DataFrame]:
+    all_vectors = vectors(spark, sf_dir)
+    lists = VectorLists(spark, joined(shared_dir(spark), f"quill/lists-{uuid.uuid4().hex}"))
+    lists.build(all_vectors)
+    return lists, _vector_questions(all_vectors)
+
+
+@query(_BATCH_SQL)
+def bounded_retrieve(spark, sf_dir):
+    """The same hits from inverted lists, of which those are skipped that cannot hold a better one."""
+    lists, asked = _lists(spark, sf_dir)
+    return lists.exact(asked, 5, 0.3, digits=6)[0].select("qid", F.col("seq").alias("vec_id"), "score", "rank")
+
+
+@query()
+def probe_retrieve(spark, sf_dir):
+    """The hits in the nearest lists of each question; a test holds them against those of all vectors."""
+    lists, asked = _lists(spark, sf_dir)
+    return lists.probe(asked, 5, 0.3, digits=6).select("qid", F.col("seq").alias("vec_id"), "score", "rank")
+
+
 @query(f"SELECT vec_id, round(list_sum(list_transform(list_zip(e.embedding::double[], q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 6) AS distance FROM embeddings e, {_Q} ORDER BY distance, vec_id LIMIT 4")
 def l2_topk(spark, sf_dir):
     return search.nearest(vectors(spark, sf_dir), first_vector(spark, sf_dir), 4).select(F.col("seq").alias("vec_id"), F.round("distance", 6).alias("distance"))

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,36 @@ def test_chunks_follow_the_model(spark):
     assert chunked(spark, texts[7:], 80, 20) == [model(t, 80, 20)[1] for t in texts[7:]]
 
 
+def test_chunks_of_many_paragraphs_follow_the_model(spark):
+    rnd = random.Random(3)
+    texts = ["\n".join("w" * rnd.choice([0, 1, 2, 3, 19, 20, 21, 59, 60, 61]) for _ in range(n)) for n in (1, 2, 255, 256, 257, 2000)]
+    texts += ["a\n" * 5000, "\n".join("ab" for _ in range(3000)), ("x" * 61 + "\n") * 400]
+    assert chunked(spark, texts, 60, 7) == [model(t, 60, 7)[1] for t in texts]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    def seconds(mb):
+        text = "\n".join("x" * 44 for _ in range(mb * 1_000_000 // 45))
+        df = spark.createDataFrame([(1, text)], "source long, text string")
+        took = []
+        for _ in range(3):
+            began = time.time()
+            assert chunking.chunks(df).count() > 1000 * mb
+            took.append(time.time() - began)
+        return min(took)
+
+    seconds(1)
+    four, sixteen = seconds(4), seconds(16)
+    # the fold that copied all finished pieces took 53 s for 4 MB, and four times as much text took sixteen times as long
+    assert four < 10 and sixteen < 7 * four
+
+
+def test_one_long_paragraph_is_sliced_in_one_pass(spark):
+    text = "é😀xyz" * 400_000
+    got = chunked(spark, [text], 1000, 150)[0]
+    assert got == model(text, 1000, 150)[1]
+
+
 @pytest.mark.parametrize("size, overlap", [(10, 0), (10, 10), (10, 12)])
 def test_sizes_are_checked(spark, size, overlap):
     with pytest.raises(ValueError):
