@@ -8,8 +8,8 @@ held against all, so what can match is first brought together:
 * Rows (anchor, hash of the piece, id) are sorted by anchor.  Equal pieces are one entry, held by the smallest id: it
   stands for all copies, whose windows all start in a smaller document.  A piece that is alone under its anchor can match
   nothing but itself.  All other entries go to an index.
-* Entries of whole anchors make a block, of which a transform is built and run-compressed, with the text's place
-  sampled at both ends of each run.  The entries are streamed through it backwards: a letter that stands in the present row's run
+* Entries of whole anchors make a block.  Those that have the bytes of no other on either side of the anchor can match
+  nothing.  Of the others a transform is built and run-compressed, with the text's place sampled at both ends of each run.  The entries are streamed through it backwards: a letter that stands in the present row's run
   is followed, for another the nearest runs of it above and below are tried at their sampled ends, and the longer match
   goes on.  Where a match has WINDOW bytes, the smallest id among all rows with these bytes decides.
 
@@ -34,7 +34,7 @@ from .common import narrow, release, slices, small_batches, stored
 WINDOW = 50
 ANCHOR = 16
 SEGMENT = 1 << 18  # bytes that are hashed at once, so that they stay in cache
-BLOCK = 1 << 18  # bytes of an index; one anchor's entries are never parted
+BLOCK = 1 << 20  # bytes of entries that are looked at together; one anchor's entries are never parted
 HOT = 2048  # entries of an anchor above which it is split
 _SIDE = (WINDOW - ANCHOR) // 2  # bytes beside the anchor that every window of one half has
 _STOP = 0xFF  # in no UTF-8 text
@@ -143,9 +143,9 @@ class RunIndex:
 
     def __init__(self, texts: list[bytes], owners: np.ndarray) -> None:
         sizes = np.array(list(map(len, texts)), np.int64) + 1
-        data = bytes([_STOP]).join([*texts, bytes([_STOP]) * 80])
+        data = bytes([_STOP]).join([*texts, bytes([_STOP]) * (80 + WINDOW)])
         n = int(sizes.sum())
-        self.data, self.text = data, np.frombuffer(data, np.uint8)
+        self.text, self.words = np.frombuffer(data, np.uint8), _words(data)
         rank = np.unique(np.ndarray((n,), ">u8", data, strides=(1,)).astype(np.uint64), return_inverse=True)[1]
         ranks = {}
         for span in (8, 16, 32):
@@ -179,16 +179,18 @@ class RunIndex:
         self.run_to[by_letter] = np.cumsum(length[by_letter]) - length[by_letter]
         self.letter_runs = (self.run_letter[by_letter] << 32) | by_letter
 
-    def _common(self, at: np.ndarray, data: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Equal bytes of the text from ``at`` and of ``data`` from ``place``, at most ``most``."""
-        out, alive = np.zeros(len(at), np.int64), np.arange(len(at))
-        for k in range(WINDOW):
-            same = (out[alive] < most[alive]) & (self.text[at[alive] + k] == data[place[alive] + k])
-            alive = alive[same]
+    def _common(self, at: np.ndarray, words: np.ndarray, place: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Equal bytes of the text from ``at`` and of other data from ``place``, at most ``most``; eight at a time."""
+        out, alive = np.zeros(len(at), np.int64), np.flatnonzero(most > 0)
+        for k in range(0, WINDOW, 8):
+            differs = self.words[at[alive] + k] ^ words[place[alive] + k]
+            equal = differs == 0
+            low = differs & (~differs + np.uint64(1))  # the lowest bit that differs
+            out[alive] += np.where(equal, 8, np.log2(np.where(equal, np.uint64(1), low).astype(np.float64)).astype(np.int64) // 8)
+            alive = alive[equal & (most[alive] > k + 8)]
             if not len(alive):
                 break
-            out[alive] += 1
-        return out
+        return np.minimum(out, most)
 
     def stream(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Yields (text, place, matched bytes, owner), for one place of each text at a time, from the last place on.
@@ -198,7 +200,8 @@ class RunIndex:
         """
         sizes = np.array(list(map(len, texts)), np.int64)
         order = np.argsort(-sizes, kind="stable")
-        data = np.frombuffer(b"".join(texts) + bytes(WINDOW), np.uint8)
+        joined = b"".join(texts) + bytes(WINDOW + 8)
+        data, words = np.frombuffer(joined, np.uint8), _words(joined)
         ends = np.cumsum(sizes)[order]
         row, match = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for step in range(1, int(sizes.max(initial=0)) + 1):
@@ -216,7 +219,7 @@ class RunIndex:
                     there = self.letter_runs[np.where(known, which, 0)]
                     known &= (there >> 32) == c
                     other = there & 0xFFFFFFFF
-                    common = np.where(known, self._common(ends_of[other], data, place[off] + 1, m[off]), -1)
+                    common = np.where(known, self._common(ends_of[other], words, place[off] + 1, m[off]), -1)
                     better = common > best
                     best, to, into = np.where(better, common, best), np.where(better, rows_of[other], to), np.where(better, other, into)
                 q[off], run[off], m[off] = to, into, best
@@ -383,10 +386,42 @@ def _parted(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, _ENTRY)
 
 
-def _matched(entries: DataFrame) -> DataFrame:
-    """(id, version, first, end) of bytes that a smaller document has, from entries sorted by anchor."""
+def contested(anchor: np.ndarray, bodies: list[bytes]) -> np.ndarray:
+    """Which bodies can have a window in common with another one under their anchor.
+
+    Such a window has the anchor at one place in both, and so the bytes before it or those behind it.  Bodies in which the
+    anchor stands more than once are all taken.
+    """
+    data, sizes = b"".join(bodies) + bytes(WINDOW), np.array(list(map(len, bodies)))
+    words, ends = _words(data), np.cumsum(sizes)
+    body = np.repeat(np.arange(len(bodies)), sizes)
+    here = np.flatnonzero(anchors(words)[: len(body)].view(np.int64) == anchor[body])
+    here = here[here + ANCHOR <= ends[body[here]]]
+    out = np.bincount(body[here], minlength=len(bodies)) != 1
+    once = here[~out[body[here]]]
+    owner, starts = body[once], (ends - sizes)[body[once]]
+    for first, inside in ((once - _SIDE, once - _SIDE >= starts), (once + ANCHOR, once + ANCHOR + _SIDE <= ends[owner])):
+        at, who = first[inside], owner[inside]
+        side = _mixed(_mixed(_mixed(words[at]) ^ words[at + 8] * _B) ^ words[at + _SIDE - 8] * _C) ^ _mixed(anchor[who].view(np.uint64))
+        order = np.argsort(side)
+        same = side[order][1:] == side[order][:-1]
+        out[who[order[1:][same]]] = True
+        out[who[order[:-1][same]]] = True
+    return out
+
+
+def _matched(entries: DataFrame, parted: bool = False) -> DataFrame:
+    """(id, version, first, end) of bytes that a smaller document has, from entries sorted by anchor; ``parted``: by half."""
 
     def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if parted:
+            chosen = rows
+        else:
+            chosen = [rows[i] for i in np.flatnonzero(contested(np.array([r[0] for r in rows], np.int64), [r[4] for r in rows]))]
+        if chosen:
+            yield from indexed(chosen)
+
+    def indexed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         owners, bodies = np.array([r[1] for r in rows], np.int64), [r[4] for r in rows]
         windows = np.array(list(map(len, bodies))) - WINDOW + 1
         gone = np.zeros((len(rows), int(windows.max()) + 1), bool)
@@ -481,6 +516,6 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     # entries are dealt once; only those of crowded anchors are parted and dealt again
     dealt = entries.repartition("anchor").join(crowded, "anchor", "left").select("hot", *entries.columns)
     calm, parted = dealt.where("hot is null").drop("hot"), _parted(dealt)
-    marks = _matched(calm.sortWithinPartitions("anchor", "id")).unionByName(_matched(parted.repartition("anchor").sortWithinPartitions("anchor", "id")))
+    marks = _matched(calm.sortWithinPartitions("anchor", "id")).unionByName(_matched(parted.repartition("anchor").sortWithinPartitions("anchor", "id"), True))
     marks = marks.groupBy("id").agg(F.collect_list(F.struct("version", "first", "end")).alias("marks"))
     return _kept(joined.join(marks, "id", "left").select("id", "text", "keys", "marks"))

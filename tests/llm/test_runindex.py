@@ -121,6 +121,25 @@ def test_halves_keep_every_window():
             assert sum(len(b) - R.WINDOW + 1 for _, _, b in parts) == n and all(text[s + a : s + a + len(b)] == b for _, a, b in parts)
 
 
+def test_only_entries_without_a_common_window_are_left_out():
+    rnd = random.Random(11)
+    for _ in range(30):
+        base = bytes(rnd.choice(b"abc") for _ in range(160))
+        texts = []
+        for _ in range(6):
+            a = rnd.randint(0, 60)
+            text = bytearray(base[a : a + rnd.randint(50, 100)])
+            text[rnd.randrange(len(text))] = rnd.choice(b"abcx")
+            texts.append(bytes(text))
+        p = R.Pieces(texts)
+        entries = [(int(p.anchor[j].view(np.int64)), texts[p.text[j]][p.start[j] : p.start[j] + p.windows[j] + 49]) for j in range(len(p.start))]
+        entries = sorted(set(entries))
+        kept = R.contested(np.array([a for a, _ in entries], np.int64), [b for _, b in entries])
+        windows = [{b[i : i + 50] for i in range(len(b) - 49)} for _, b in entries]
+        for i, (a, _) in enumerate(entries):
+            assert kept[i] or not any(windows[i] & windows[j] for j, (c, _) in enumerate(entries) if i != j)
+
+
 def test_very_long_text(spark):
     rnd = random.Random(8)
     long = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(700_000))
