@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable
 from pathlib import Path
 
@@ -17,9 +18,12 @@ from .operators import chunking, search, sync
 from .operators.lists import VectorLists
 from .providers import Offline
 from .sources import files
-from .sources.index import ORDER, Index
+from .sources.index import KEPT, ORDER, Conflict, Index
 from .storage import is_uri, joined
 
+RETRIES = 4  # of a sync that others overlap
+SETTLED = 2.0  # seconds after which a file's time of change tells its contents apart
+
 
 class Engine:
     def __init__(self, spark: SparkSession, folder: str | Path, index_root: str | Path, provider=None, settings: Settings | None = None) -> None:
@@ -47,30 +51,61 @@ class Engine:
     def sync(self, force: bool = False, say: Callable[[str], None] | None = None) -> dict:
         """Bring the index in step with the folder; returns the summary.
 
+        A file whose size and time of change are those of the last sync is not opened; of any other the content is hashed.
         Unchanged files are neither parsed nor embedded again.  A file that cannot be parsed is reported, keeps
-        no records and is tried again by the next sync; the others are committed.
+        no records and is tried again by the next sync; the others are committed.  If another sync commits some of the
+        same files meanwhile, this one begins again from there.
         """
         if isinstance(self.folder, Path) and not self.folder.is_dir():
             raise FileNotFoundError(f"{self.folder} is not a folder")
+        for _ in range(RETRIES - 1):
+            try:
+                return self._synced(force, say)
+            except Conflict:
+                continue
+        return self._synced(force, say)
+
+    def current(self, manifest: DataFrame) -> DataFrame:
+        """The folder's files with ``digest`` and ``stamp``, which stands for a content that is known.
+
+        A file has its stamp from size and time of change; one that changed just now has none, as it can change again
+        within the clock's step.  Files with the manifest's stamp take its digest, and only the others are opened.
+        """
+        settled = F.col("modified") < int((time.time() - SETTLED) * 1e9)
         found = files.discover(self.spark, self.folder)
-        # a listing holds one short row a file
-        current = found.withColumn("digest", files.digest_of("path")).cache()
-        manifest = self.index.manifest()
+        found = found.withColumn("stamp", F.when(settled, F.concat_ws(":", "size", "modified")))
+        known = manifest.where("stamp is not null").select("source", "stamp", F.col("digest").alias("before"))
+        both = found.join(known, ["source", "stamp"], "left").select(*found.columns, "before")
+        same = both.where("before is not null").withColumnRenamed("before", "digest")
+        return same.unionByName(both.where("before is null").drop("before").withColumn("digest", files.digest_of("path")))
+
+    def _synced(self, force: bool, say: Callable[[str], None] | None) -> dict:
+        state = self.index.state()
+        manifest = self.index.manifest(state)
         if force:
             manifest = manifest.limit(0)
+        # a listing holds one short row a file
+        current = self.current(manifest).cache()
         known = manifest.select("source", F.when(F.col("config") == self.config, F.col("digest")).alias("digest"))
         diff = sync.changes(current, known).cache()
         fresh = diff.where(F.col("status").isin("added", "updated")).select("source")
-        parsed = files.read(current.join(fresh, "source", "left_semi").select("path", "source", "ext", "digest")).cache()
+        parsed = files.read(current.join(fresh, "source", "left_semi").select("path", "source", "ext", "digest", "stamp")).cache()
         s = self.settings
-        new = self.embedded(chunking.chunks(parsed.where("error is null"), s.chunk_size, s.overlap), self.index.next_seq())
+        new = self.embedded(chunking.chunks(parsed.where("error is null"), s.chunk_size, s.overlap), state["seq"] + 1)
         failed = parsed.where("error is not null").select("source", "error")
-        good = parsed.where("error is null").select("source", "digest").withColumn("config", F.lit(self.config))
-        if force:
-            self.index.commit(new, good)
-        else:
-            gone = diff.where("status = 'removed'").select("source").unionByName(failed.select("source"))
-            self.index.append(new, good, gone)
+        good = parsed.where("error is null").select("source", "digest", "stamp").withColumn("config", F.lit(self.config))
+        try:
+            if force:
+                self.index.commit(new, good)
+            else:
+                gone = diff.where("status = 'removed'").select("source").unionByName(failed.select("source"))
+                if not (fresh.isEmpty() and gone.isEmpty()):
+                    self.index.append(new, good, gone, state["number"])
+        except Conflict:
+            for df in (parsed, diff, current):
+                df.unpersist()
+            raise
+        self.index.vacuum(KEPT)
         stored = self.index.manifest()
         out = sync.summary(diff, stored.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).first()[0]).first().asDict()
         if say:
@@ -86,13 +121,20 @@ class Engine:
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """Hits of each question (qid, question): qid, rank, score, source, chunk_index, text.
 
-        Scoring reads ids and vectors; texts are joined to the hits alone.
+        Scoring reads ids and vectors.  A block of questions (``search.QUESTIONS`` at most) has ``top_k`` hits each at
+        most; these come to the driver and are sent to a scan of the row groups that can hold their texts, so no text is shuffled.
         """
-        s = self.settings
+        s, state = self.settings, self.index.state()
         asked = questions.select("qid", self.provider.embed("question", "RETRIEVAL_QUERY").alias("query"))
-        hits = search.batch_top(self.index.records().select("id", *ORDER, "embedding", "norm"), asked, s.top_k, s.min_score, order=ORDER)
-        texts = self.index.records().select("id", "source", "text")
-        return texts.join(hits, "id").select("qid", "rank", "score", "source", "chunk_index", "text")
+        vectors = self.index.records(state).select("id", *ORDER, "embedding", "norm")
+        out = None
+        for block in search.blocks(asked, "qid"):
+            hits = search.batch_top(vectors, self.spark.createDataFrame(block), s.top_k, s.min_score, order=ORDER)
+            found = hits.select("id", "qid", "rank", "score", "chunk_index").toArrow()
+            texts = self.index.texts(found["id"].unique().to_pylist(), state)
+            part = texts.join(F.broadcast(self.spark.createDataFrame(found)), "id").select("qid", "rank", "score", "source", "chunk_index", "text")
+            out = part if out is None else out.unionByName(part)
+        return out
 
     def answers(self, questions: DataFrame) -> DataFrame:
         """(qid, answer, sources) of every question."""

@@ -120,6 +120,12 @@ def _blocks(questions: DataFrame, key: str, limit: int) -> Iterator[pa.Table]:
         yield (questions if n == 1 else questions.where(F.pmod(F.xxhash64(key), F.lit(n)) == i)).toArrow()
 
 
+def blocks(questions: DataFrame, key: str = "qid") -> Iterator[pa.Table]:
+    """Questions (key, query) in blocks of ``QUESTIONS`` and ``QUESTION_BYTES`` at most."""
+    widest = questions.agg(F.max(F.size("query"))).first()[0] or 1
+    return _blocks(questions, key, max(1, min(QUESTIONS, QUESTION_BYTES // (8 * max(1, widest)))))
+
+
 def _rounded(scores: np.ndarray, digits: int | None) -> np.ndarray:
     if digits is None:
         return scores

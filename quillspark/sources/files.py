@@ -26,23 +26,23 @@ from ..config import FLAT_SUFFIXES, SUFFIXES
 from ..functions.text import suffix
 from ..storage import is_uri, joined
 
-ENTRIES = "path string, source string, size long, folder boolean"
+ENTRIES = "path string, source string, size long, modified long, folder boolean"
 BATCH = 64  # files or folders that a task handles at once
 
 
-def children(path: str) -> list[tuple[str, int, bool]]:
-    """(name, size, is a folder) of what lies in a folder; nothing for a missing one; links to folders are not followed."""
+def children(path: str) -> list[tuple[str, int, int, bool]]:
+    """(name, size, time of change in nanoseconds, is a folder) of what lies in a folder; nothing for a missing one; links to folders are not followed."""
     if not is_uri(path):
         try:
             with os.scandir(path) as found:
-                return [(e.name, 0 if d else e.stat().st_size, d) for e in found if (d := e.is_dir(follow_symlinks=False)) or e.is_file()]
+                return [(e.name, 0 if d else e.stat().st_size, e.stat().st_mtime_ns, d) for e in found if (d := e.is_dir(follow_symlinks=False)) or e.is_file()]
         except (FileNotFoundError, NotADirectoryError):
             return []
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
     found = store.get_file_info(fs.FileSelector(inner, allow_not_found=True))
-    return [(e.base_name, e.size or 0, e.type == fs.FileType.Directory) for e in found if e.type in (fs.FileType.File, fs.FileType.Directory)]
+    return [(e.base_name, e.size or 0, e.mtime_ns or 0, e.type == fs.FileType.Directory) for e in found if e.type in (fs.FileType.File, fs.FileType.Directory)]
 
 
 def opened(path: str):
@@ -58,18 +58,18 @@ def opened(path: str):
 def _below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for top, prefix in zip(batch["path"], batch["source"]):
-            rows = [(joined(top, n), f"{prefix}{n}", size, folder) for n, size, folder in children(top)]
-            yield pd.DataFrame(rows, columns=["path", "source", "size", "folder"])
+            rows = [(joined(top, n), f"{prefix}{n}", size, modified, folder) for n, size, modified, folder in children(top)]
+            yield pd.DataFrame(rows, columns=["path", "source", "size", "modified", "folder"])
 
 
 def listed(spark: SparkSession, folder: str | Path, recursive: bool = True) -> DataFrame:
-    """(path, source, size) of all files; source is the path within the folder."""
+    """(path, source, size, modified) of all files; source is the path within the folder."""
     level = spark.createDataFrame([(str(folder), "")], "path string, source string")
     out, wide = None, spark.sparkContext.defaultParallelism
     while True:
         # a level holds one short row a file or folder and is listed once
         found = level.mapInPandas(_below, ENTRIES).cache()
-        files = found.where("not folder").select("path", "source", "size")
+        files = found.where("not folder").select("path", "source", "size", "modified")
         out = files if out is None else out.unionByName(files)
         deeper = found.where("folder").select("path", F.concat("source", F.lit("/")).alias("source"))
         if not recursive or deeper.isEmpty():

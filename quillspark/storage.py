@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _OWN: dict[str, str] = {}  # folders of sessions that name none
@@ -57,20 +59,37 @@ class Store:
         stream.write(bytearray(text.encode()))
         stream.close()
 
-    def replace_text(self, name: str, text: str, fresh: str) -> None:
-        """Write ``text`` under the unused name ``fresh``, then rename it over ``name`` in one step."""
+    def create_text(self, name: str, text: str, fresh: str) -> bool:
+        """Write ``text`` under the unused name ``fresh``, then give it ``name`` in one step; False if that is taken.
+
+        Of many that ask for one name at the same time exactly one gets it: a local file is linked, any other is renamed without
+        overwriting, which the store refuses if the name is there.
+        """
         self.write_text(fresh, text)
-        fs = self._jvm.org.apache.hadoop.fs
-        how = self.spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
-        how[0] = fs.Options.Rename.OVERWRITE
-        target = self._fs.makeQualified(self._path(name))
-        fs.FileContext.getFileContext(target.toUri(), self._conf).rename(self._fs.makeQualified(self._path(fresh)), target, how)
-
-    def folders(self) -> list[str]:
-        """Names of the folders within; for folders that hold few."""
+        source, target = (self._fs.makeQualified(self._path(n)) for n in (fresh, name))
+        try:
+            if target.toUri().getScheme() == "file":
+                self._fs.mkdirs(target.getParent())
+                os.link(source.toUri().getPath(), target.toUri().getPath())
+                return True
+            self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf).rename(
+                source, target, self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            )
+            return True
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+                return False
+            raise
+        finally:
+            self._fs.delete(self._path(fresh), False)
+
+    def entries(self) -> list[tuple[str, bool, float]]:
+        """(name, is a folder, time of change) of what lies within; for folders that hold few."""
         if not self._fs.exists(self._path("")):
             return []
-        return [s.getPath().getName() for s in self._fs.listStatus(self._path("")) if s.isDirectory()]
+        return [(s.getPath().getName(), s.isDirectory(), s.getModificationTime() / 1000) for s in self._fs.listStatus(self._path(""))]
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

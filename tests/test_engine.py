@@ -90,7 +90,8 @@ def test_sync_lifecycle(spark, tmp_path):
     assert e.answer("zebra quantum") == {"answer": P.NOT_FOUND, "sources": []}
     other = Engine(spark, folder, tmp_path / "index", Offline(32), Settings(dim=32))
     assert other.sync()["updated"] == 3
-    assert e.index.vacuum() >= 4 and e.index.records().count() == 2
+    # four syncs changed something; the one that did not wrote no version
+    assert e.index.vacuum() == 3 and e.index.records().count() == 2
     os.rename(folder, tmp_path / "gone")
     with pytest.raises(FileNotFoundError):
         e.sync()
@@ -125,7 +126,7 @@ def test_syncs_append_until_the_index_is_written_whole(spark, tmp_path):
     for i in range(PARTS + 1):
         write(e.folder, a_dot_txt=f"first again {i}", **{f"c{i}_dot_txt": f"third {i}"})
         e.sync()
-        parts.append(len(e.index._pointer()["parts"]))
+        parts.append(len(e.index.state()["parts"]))
         want = {"a.txt": f"first again {i}", "b.txt": "second"} | {f"c{k}.txt": f"third {k}" for k in range(i + 1)}
         assert {r.source: r.text for r in e.index.records().collect()} == want
     assert parts == [*range(2, PARTS + 1), 1, 2]
