@@ -33,6 +33,7 @@ SHINGLE = 3
 GROUP_LIMIT = 4096
 SEED = 42
 MINIMA = 100  # of a row's shingle hashes, dealt to bands
+SHARE = 512  # texts that a task sets against one
 MISS = 1e-5  # chance at most that a pair just at the similarity shares no band
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -120,31 +121,77 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 def similar_links(docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """(u, v): fingerprints of rows whose shingle sets have ``similarity`` at least, enough to connect all such rows.
 
-    Rows with equal sets are one.  In a band a row is compared until it is linked to each component there, so near
-    copies of one text cost a comparison each; a band of very many dissimilar rows costs all their pairs.
+    Equal texts are one.  In a band each text is set against the one with the smallest key, in tasks of ``SHARE`` texts
+    however many share it; where all are similar to that one, they are connected and the band is done.  Only in the other bands
+    are texts compared with each other, each until it is linked to every component there.  Bands of the same texts are
+    one.  Texts travel instead of their sets, which are twice as large.
     """
     rows = band_rows(similarity)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = batch.column(0).to_pylist()
-            sets = [shingle_set(t, shingle) for t in texts]
-            fps = np.array([fingerprint_of(t) for t in texts], "u8").view("i8")
-            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            texts = batch.column(1).to_pylist()
+            sets = (shingle_set(t, shingle) for t in texts)
             bands = [bands_of(x, rows) if len(x) else [] for x in sets]
-            cols = [pa.array(fps), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([x.view("i8") for x in sets], pa.list_(pa.int64()))], ["fp", "key", "bands", "hashes"])
+            fps = np.array([fingerprint_of(t) for t in texts], "u8").view("i8")
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array(bands, pa.list_(pa.int64()))], ["key", "fp", "bands"])
 
         return step
 
-    def compare(batches):
+    keyed = docs.select(F.unhex(text_key("text")).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    banded = stored(map_texts(keyed, make, "key binary, fp long, bands array<long>"), "banded")
+    dealt = banded.dropDuplicates(["key"]).select("key", "fp", F.explode("bands").alias("band"))
+    mark = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark")
+    bands = dealt.groupBy("band").agg(F.min(F.struct("key", "fp")).alias("least"), F.count("*").alias("n"), mark).where("n > 1")
+    bands = bands.groupBy("least", "n", "mark").agg(F.min("band").alias("band"))
+    members = stored(dealt.join(bands, "band").select("band", "key", "fp", F.col("least.key").alias("other"), F.col("least.fp").alias("other_fp")), "members")
+    wanted = members.select("key").union(members.select("other")).distinct()
+    texts = stored(keyed.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    pairs = members.where("key <> other").select("key", "fp", "other", "other_fp").distinct()
+    checked = stored(_checked(pairs, texts, similarity, shingle), "checked")
+    mixed = members.join(checked.where("not alike"), ["key", "other"], "left_semi").select("band").distinct()
+    rest = members.join(mixed, "band", "left_semi").select("band", "key", "fp").join(texts, "key").select("band", "fp", "text")
+    further = rest.repartition("band").sortWithinPartitions("band").mapInArrow(_compared(similarity, shingle), "u long, v long")
+    return checked.where("alike and u <> v").select("u", "v").union(further)
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(key, other, u, v, alike) of (key, fp, other, other_fp): whether the two texts' sets are similar."""
+    shares = pairs.groupBy("other", "other_fp").agg((F.count("*") / SHARE).cast("int").alias("shares"))
+    heads = shares.select("other", "other_fp", F.explode(F.sequence(F.lit(0), F.col("shares"))).alias("share")).join(texts.withColumnRenamed("key", "other"), "other")
+    heads = heads.select("other", "share", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("fp"), "other_fp", "text")
+    dealt = pairs.join(shares.drop("other_fp"), "other").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares") + 1).cast("int"))
+    rows = dealt.join(texts, "key").select("other", "share", F.lit(1).alias("kind"), "key", "fp", "other_fp", "text")
+    both = heads.unionByName(rows).repartition("other", "share").sortWithinPartitions("other", "share", "kind")
+
+    def run(batches):
+        least = None
+        for batch in batches:
+            out = []
+            for other, _, kind, key, fp, other_fp, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = shingle_set(text, shingle)
+                if kind == 0:
+                    least = own
+                else:
+                    out.append((key, other, fp, other_fp, _similar(own, least, similarity)))
+            if out:
+                types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["key", "other", "u", "v", "alike"])
+
+    return both.mapInArrow(run, "key binary, other binary, u long, v long, alike boolean")
+
+
+def _compared(similarity: float, shingle: int):
+    """Links between the texts of a band, over rows (band, fp, text) sorted by band."""
+
+    def run(batches):
         band, parts = None, []
         for batch in batches:
             out = set()
-            for b, fp, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for b, fp, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if b != band:
                     band, parts = b, []
-                own = hashes.values.to_numpy(zero_copy_only=False).view("u8").copy()
+                own = shingle_set(text, shingle)
                 joined, apart = [(fp, own)], []
                 for part in parts:
                     hit = next((other for other, x in part if _similar(own, x, similarity)), None)
@@ -158,13 +205,7 @@ def similar_links(docs: DataFrame, similarity: float, shingle: int) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["u", "v"])
 
-    sets = stored(map_texts(narrow(docs, "text"), make, "fp long, key binary, bands array<long>, hashes array<long>"), "sets")
-    dealt = sets.select("fp", "key", "bands").dropDuplicates(["fp", "key"]).select("fp", "key", F.explode("bands").alias("band"))
-    shared = stored(dealt.join(dealt.groupBy("band").count().where("count > 1").select("band"), "band"), "bands")
-    wanted = shared.select("fp", "key").distinct()
-    whole = sets.select("fp", "key", "hashes").join(wanted, ["fp", "key"], "left_semi").dropDuplicates(["fp", "key"])
-    members = shared.join(whole, ["fp", "key"]).select("band", "fp", "hashes")
-    return members.repartition("band").sortWithinPartitions("band").mapInArrow(compare, "u long, v long")
+    return run
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:
