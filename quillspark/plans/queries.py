@@ -20,8 +20,10 @@ from ..functions import vectors as V
 from ..operators import chunking, search, sync
 from ..operators.lists import VectorLists
 from ..providers import Offline, in_batches
+from ..sources import files
 from ..sources.files import READERS, csv_text, docx_text, parse_binary, pdf_text, text_of
 from ..sources.index import Index
+from ..sources.ranges import csv_lines
 from ..storage import joined, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,14 +65,39 @@ def _in(suffixes: tuple[str, ...]) -> str:
 _SUFFIX_SQL = "CASE WHEN doc_id % 8 = 7 THEN '' ELSE lower(" + _EXT_SQL + ") END"
 
 
+def written_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder in the shared storage with a file for each row of documents, written by the executors."""
+    folder = joined(shared_dir(spark), f"quill/files-{uuid.uuid4().hex}")
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                store.create_dir(f"{top}/{path.rpartition('/')[0]}")
+                with store.open_output_stream(f"{top}/{path}") as out:
+                    out.write((text or "").encode("utf-8", "surrogatepass"))
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    # names that hold no doc_id are those of several rows: one of them is enough
+    named_files(spark, sf_dir).groupBy("path").agg(F.min("text").alias("text")).mapInPandas(write, "n long").agg(F.sum("n")).first()
+    return folder
+
+
+def _doc_id():
+    return F.regexp_extract("source", r"doc_(\d+)", 1).cast("long").alias("doc_id")
+
+
 @query(f"SELECT doc_id, {_PATH_SQL} AS path, {_SUFFIX_SQL} AS ext FROM documents WHERE {_SUFFIX_SQL} IN {_in(SUFFIXES)}")
 def discover_files(spark, sf_dir):
-    return named_files(spark, sf_dir).where(F.col("ext").isin(*SUFFIXES)).select("doc_id", "path", "ext")
+    return files.discover(spark, written_files(spark, sf_dir)).select(_doc_id(), F.col("source").alias("path"), "ext")
 
 
 @query(f"SELECT doc_id, {_PATH_SQL} AS path FROM documents WHERE source = 'src0' AND {_SUFFIX_SQL} IN {_in(FLAT_SUFFIXES)}")
 def discover_files_flat(spark, sf_dir):
-    return named_files(spark, sf_dir).where((F.col("source") == "src0") & F.col("ext").isin(*FLAT_SUFFIXES)).select("doc_id", "path")
+    found = files.discover(spark, joined(written_files(spark, sf_dir), "src0"), recursive=False)
+    return found.select(_doc_id(), F.concat(F.lit("src0/"), "source").alias("path"))
 
 
 @query(f"SELECT doc_id, regexp_extract({_PATH_SQL}, '[^/]+$') AS source_file FROM documents")
@@ -80,8 +107,8 @@ def source_file_name(spark, sf_dir):
 
 @query("SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM documents")
 def read_text(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select("doc_id", F.lit(".txt").alias("ext"), F.encode("text", "UTF-8").alias("content"))
-    read = parse_binary(files)
+    given = table(spark, sf_dir, "documents").select("doc_id", F.lit(".txt").alias("ext"), F.encode("text", "UTF-8").alias("content"))
+    read = parse_binary(given)
     return read.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -97,8 +124,8 @@ def reader_dispatch(spark, sf_dir):
 @query(f"SELECT doc_id, {_SUFFIX_SQL} IN ('.txt', '.md', '.markdown', '.csv') AS loaded FROM documents")
 def load_partition_ok_bad(spark, sf_dir):
     # a text under the name of a package is a file that cannot be read
-    files = named_files(spark, sf_dir).select("doc_id", "ext", F.encode("text", "UTF-8").alias("content"))
-    return parse_binary(files).select("doc_id", F.col("error").isNull().alias("loaded"))
+    given = named_files(spark, sf_dir).select("doc_id", "ext", F.encode("text", "UTF-8").alias("content"))
+    return parse_binary(given).select("doc_id", F.col("error").isNull().alias("loaded"))
 
 
 def _flattened(df: DataFrame, key: str) -> DataFrame:
@@ -124,6 +151,15 @@ def csv_flatten_customer(spark, sf_dir):
     return rows.select("c_custkey", F.array_join(pairs, ", ").alias("text"))
 
 
+@query("SELECT c_custkey, 'c_custkey: ' || c_custkey || ', c_name: ' || c_name || ', c_nationkey: ' || c_nationkey || ', c_acctbal: ' || c_acctbal || ', c_mktsegment: ' || c_mktsegment AS text FROM customer")
+def csv_ranges_customer(spark, sf_dir):
+    """The table written as CSV files, which many tasks read by ranges of bytes."""
+    folder = joined(shared_dir(spark), f"quill/csv-{uuid.uuid4().hex}")
+    table(spark, sf_dir, "customer").write.option("header", True).csv(folder)
+    found = csv_lines(files.listed(spark, folder).where("source like '%.csv'").select("path", "size"), size=32 << 10)
+    return found.select(F.regexp_extract("line", r"^c_custkey: (\d+)", 1).cast("long").alias("c_custkey"), F.col("line").alias("text"))
+
+
 # ---- chunks -------------------------------------------------------------------------------------------------
 
 _WS_SQL = "(' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))"
