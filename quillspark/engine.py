@@ -18,6 +18,7 @@ from .operators import chunking, search, sync
 from .operators.lists import VectorLists
 from .providers import Offline
 from .sources import files
+from .sources.embeddings import Embeddings
 from .sources.index import KEPT, ORDER, Conflict, Index
 from .storage import is_uri, joined
 
@@ -33,6 +34,7 @@ class Engine:
         self.provider = provider or Offline(self.settings.dim)
         # each folder has its own index, so that another folder's sync cannot empty it
         self.index = Index(spark, joined(index_root, hashlib.sha256(str(self.folder).encode()).hexdigest()[:16]))
+        self.embeddings = Embeddings(spark, joined(index_root, "embeddings"))  # of all folders
 
     @property
     def config(self) -> str:
@@ -42,10 +44,14 @@ class Engine:
 
     def embedded(self, chunked: DataFrame, seq: int) -> DataFrame:
         """Index records of (source, chunk_index, text), made by sync number ``seq``."""
-        made = chunked.select(
-            T.chunk_id("source", F.col("chunk_index").cast("string")).alias("id"), "text", "source", F.col("chunk_index").cast("int"),
-            self.provider.embed("text").alias("embedding"),
-        )
+        named = chunked.select(
+            T.chunk_id("source", F.col("chunk_index").cast("string")).alias("id"), "text", "source", F.col("chunk_index").cast("int")
+        )
+        # an embedder that costs next to nothing is asked again
+        if self.provider.name == "offline":
+            made = named.withColumn("embedding", self.provider.embed("text"))
+        else:
+            made = self.embeddings.embedded(named, self.provider.embed, f"{self.provider.name}/{getattr(self.provider, 'dim', '')}")
         return made.select("*", V.norm(F.col("embedding")).alias("norm"), F.lit(seq).cast("long").alias("seq"))
 
     def sync(self, force: bool = False, say: Callable[[str], None] | None = None) -> dict:
