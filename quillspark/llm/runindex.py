@@ -34,7 +34,7 @@ from .common import narrow, release, slices, small_batches, stored
 WINDOW = 50
 ANCHOR = 16
 SEGMENT = 1 << 18  # bytes that are hashed at once, so that they stay in cache
-BLOCK = 1 << 20  # bytes of entries that are looked at together; one anchor's entries are never parted
+BLOCK = 1 << 19  # bytes of entries that are looked at together; one anchor's entries are never parted
 HOT = 2048  # entries of an anchor above which it is split
 _SIDE = (WINDOW - ANCHOR) // 2  # bytes beside the anchor that every window of one half has
 _STOP = 0xFF  # in no UTF-8 text
@@ -138,31 +138,47 @@ def _bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _from(rank: np.ndarray, at: int) -> np.ndarray:
+    """Ranks from ``at`` places further on; 0 behind the end."""
+    return np.append(rank[at:] + 1, np.zeros(min(at, len(rank)), rank.dtype))
+
+
+def _ranked(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, dense ranks) of places by one to three keys."""
+    if len(keys) == 1 or len(keys[0]) < (1 << 21) - 1:
+        key = keys[0].astype(np.uint64)
+        for more in keys[1:]:
+            key = (key << np.uint64(21)) | more.astype(np.uint64)
+        order = np.argsort(key)
+        step = np.diff(key[order], prepend=key[order[:1]]) != 0
+    else:
+        order = np.lexsort(keys[::-1])
+        step = np.append(False, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(step)
+    return order, rank
+
+
 class RunIndex:
-    """A run-compressed transform of ``texts``, whose owners are numbers; rows are in order of their first 64 bytes."""
+    """A run-compressed transform of ``texts``, whose owners are numbers; rows are in order of their first 72 bytes."""
 
     def __init__(self, texts: list[bytes], owners: np.ndarray) -> None:
         sizes = np.array(list(map(len, texts)), np.int64) + 1
         data = bytes([_STOP]).join([*texts, bytes([_STOP]) * (80 + WINDOW)])
         n = int(sizes.sum())
         self.text, self.words = np.frombuffer(data, np.uint8), _words(data)
-        rank = np.unique(np.ndarray((n,), ">u8", data, strides=(1,)).astype(np.uint64), return_inverse=True)[1]
-        ranks = {}
-        for span in (8, 16, 32):
-            ranks[span] = rank
-            key = rank.astype(np.uint64) << np.uint64(32)
-            key[: n - span] |= rank[span:].astype(np.uint64) + np.uint64(1)
-            order = np.argsort(key)
-            step = np.diff(key[order], prepend=key[order[:1]]) != 0
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(step)
-        row, rank = order, ranks[32]  # order of 64 bytes, and of 32
-        pair = np.stack([rank[row], np.append(rank, np.zeros(WINDOW, np.int64))[row + WINDOW - 32]])
-        fresh = np.ones(n, bool)
-        fresh[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
+        order, rank = _ranked(np.ndarray((n,), ">u8", data, strides=(1,)).astype(np.uint64))
+        order, by24 = _ranked(*(_from(rank, at) for at in (0, 8, 16)))
+        row, _ = _ranked(*(_from(by24, at) for at in (0, 24, 48)))  # order of 72 bytes
+        same = np.ones(n - 1, bool)
+        for at in (0, 24, WINDOW - 24):
+            some = _from(by24, at)[row]
+            same &= some[1:] == some[:-1]
+        fresh = np.append(True, ~same)
         self.class_start = np.flatnonzero(fresh)
         owner = np.repeat(owners, sizes)[row]
         self.class_owner = np.minimum.reduceat(owner, self.class_start)
+        self.class_of = np.cumsum(fresh) - 1
         letter = self.text[row - 1]
         letter[row == 0] = _STOP
         change = np.ones(n, bool)
@@ -172,6 +188,11 @@ class RunIndex:
         self.run_letter = letter[self.run_start].astype(np.int64)
         self.head, self.tail = row[self.run_start], row[run_end - 1]  # the sampled ends
         self.run_end = run_end - 1
+        self.run_of = np.cumsum(change) - 1
+        # the rows of the texts' last windows
+        place = np.empty(n, np.int64)
+        place[row] = np.arange(n)
+        self.last_row = place[np.maximum(np.cumsum(sizes) - 1 - WINDOW, 0)]
         # where a run's rows go: letters in order, then runs in order
         by_letter = np.argsort(self.run_letter, kind="stable")
         length = run_end - self.run_start
@@ -192,23 +213,28 @@ class RunIndex:
                 break
         return np.minimum(out, most)
 
-    def stream(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def stream(self, texts: list[bytes], own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Yields (text, place, matched bytes, owner), for one place of each text at a time, from the last place on.
 
         The match is the longest one of the bytes from the place on, counted up to WINDOW; the owner is the smallest
-        of all texts of the index with these WINDOW bytes, and says nothing for a shorter match.
+        of all texts of the index with these WINDOW bytes, and says nothing for a shorter match.  ``own``: the texts are those of
+        the index, each at least WINDOW bytes long, and start at their last windows, whose rows are sampled.
         """
         sizes = np.array(list(map(len, texts)), np.int64)
         order = np.argsort(-sizes, kind="stable")
         joined = b"".join(texts) + bytes(WINDOW + 8)
         data, words = np.frombuffer(joined, np.uint8), _words(joined)
-        ends = np.cumsum(sizes)[order]
+        ends, starts = np.cumsum(sizes)[order], (np.cumsum(sizes) - sizes)[order]
         row, match = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for step in range(1, int(sizes.max(initial=0)) + 1):
+        first = 1
+        if own:
+            row, match, first = self.last_row[order], np.full(len(texts), WINDOW), WINDOW + 1
+            yield order, sizes[order] - WINDOW, match.copy(), self.class_owner[self.class_of[row]]
+        for step in range(first, int(sizes.max(initial=0)) + 1):
             n = int(np.searchsorted(-sizes[order], -step, "right"))
             place, q, m = ends[:n] - step, row[:n], match[:n]
             letter = data[place].astype(np.int64)
-            run = np.searchsorted(self.run_start, q, "right") - 1
+            run = self.run_of[q]
             off = np.flatnonzero(self.run_letter[run] != letter)
             if len(off):
                 c = letter[off]
@@ -225,8 +251,7 @@ class RunIndex:
                 q[off], run[off], m[off] = to, into, best
             q[:] = np.where(m >= 0, self.run_to[run] + q - self.run_start[run], 0)
             np.minimum(m + 1, WINDOW, out=m)
-            owner = self.class_owner[np.searchsorted(self.class_start, q, "right") - 1]
-            yield order[:n], place - (ends[:n] - sizes[order[:n]]), m.copy(), owner
+            yield order[:n], place - starts[:n], m.copy(), self.class_owner[self.class_of[q]]
 
 
 def _occurring(docs: DataFrame) -> DataFrame:
@@ -320,6 +345,21 @@ def _sorted_out(rows: DataFrame, hot: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, key long")
 
 
+class Wanted:
+    """Keys of some texts' pieces, looked up for a segment of texts at once."""
+
+    def __init__(self, lists: pa.Array, odd: bool) -> None:
+        keys, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+        chosen = (keys & 1) == int(odd)
+        self.keys, self.owner = keys[chosen] - int(odd), owner[chosen]
+
+    def among(self, at: int, n: int, pieces: Pieces) -> np.ndarray:
+        """Places of the pieces of texts ``at`` to ``at + n`` whose keys are wanted of their text."""
+        low, high = np.searchsorted(self.owner, [at, at + n])
+        own = (self.owner[low:high] - at).astype(np.uint64) * _A + self.keys[low:high].view(np.uint64)
+        return np.flatnonzero(np.isin(pieces.text.astype(np.uint64) * _A + pieces.keys().view(np.uint64), own))
+
+
 _ENTRY = "anchor long, id long, version long, start array<int>, body binary"
 
 
@@ -328,25 +368,23 @@ def _entries(joined: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            chosen = [i for i, keys in enumerate(batch.column(2)) if keys.is_valid]
-            if not chosen:
+            batch = batch.filter(batch.column(2).is_valid())
+            if not batch.num_rows:
                 continue
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), _bytes(batch.column(1).take(pa.array(chosen)))
+            ids, texts, wanted = batch.column(0).to_pylist(), _bytes(batch.column(1)), Wanted(batch.column(2), True)
             out: dict[tuple[int, int], tuple] = {}
             for at, some in _segments(texts):
                 pieces = Pieces(some)
-                keys, bounds = pieces.keys(), np.searchsorted(pieces.text, np.arange(len(some) + 1))
-                for k, text in enumerate(some):
-                    row = chosen[at + k]
-                    wanted = batch.column(2)[row].values.to_numpy()
-                    own = slice(bounds[k], bounds[k + 1])
-                    for j in np.flatnonzero(np.isin(keys[own], wanted[wanted & 1 == 1] - 1)) + bounds[k]:
-                        start = int(pieces.start[j])
-                        if (row, keys[j]) in out:
-                            out[row, keys[j]][3].append(start)
-                        else:
-                            body = text[start : start + int(pieces.windows[j]) + WINDOW - 1]
-                            out[row, keys[j]] = (int(pieces.anchor[j].view(np.int64)), int(ids[row]), xxhash.xxh64_intdigest(text) >> 1, [start], body)
+                hits = wanted.among(at, len(some), pieces)
+                found = zip(*(x[hits].tolist() for x in (pieces.text, pieces.start, pieces.windows, pieces.anchor.view(np.int64), pieces.keys())))
+                versions: dict[int, int] = {}
+                for text, start, windows, anchor, key in found:
+                    if text not in versions:
+                        versions[text] = xxhash.xxh64_intdigest(some[text]) >> 1
+                    if (at + text, key) in out:
+                        out[at + text, key][3].append(start)
+                    else:
+                        out[at + text, key] = (anchor, ids[at + text], versions[text], [start], some[text][start : start + windows + WINDOW - 1])
             if out:
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out.values()), types)], [x.split()[0] for x in _ENTRY.split(", ")])
@@ -386,46 +424,61 @@ def _parted(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, _ENTRY)
 
 
-def contested(anchor: np.ndarray, bodies: list[bytes]) -> np.ndarray:
-    """Which bodies can have a window in common with another one under their anchor.
+def contested(anchor: np.ndarray, data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of bodies (end to end in ``data``) can be in common with another one under their anchor.
 
-    Such a window has the anchor at one place in both, and so the bytes before it or those behind it.  Bodies in which the
-    anchor stands more than once are all taken.
+    Such a window has the anchor at one place in both, and so the bytes before it or those behind it.  Returns for each body
+    the windows (first, end) that can be such: those with the bytes before, those with the bytes behind, all or none.  Of bodies in
+    which the anchor stands more than once all are taken.
     """
-    data, sizes = b"".join(bodies) + bytes(WINDOW), np.array(list(map(len, bodies)))
-    words, ends = _words(data), np.cumsum(sizes)
-    body = np.repeat(np.arange(len(bodies)), sizes)
+    words, ends = _words(data + bytes(WINDOW)), np.cumsum(sizes)
+    body = np.repeat(np.arange(len(sizes)), sizes)
     here = np.flatnonzero(anchors(words)[: len(body)].view(np.int64) == anchor[body])
     here = here[here + ANCHOR <= ends[body[here]]]
-    out = np.bincount(body[here], minlength=len(bodies)) != 1
-    once = here[~out[body[here]]]
-    owner, starts = body[once], (ends - sizes)[body[once]]
-    for first, inside in ((once - _SIDE, once - _SIDE >= starts), (once + ANCHOR, once + ANCHOR + _SIDE <= ends[owner])):
+    whole = np.bincount(body[here], minlength=len(sizes)) != 1
+    once = here[~whole[body[here]]]
+    owner = body[once]
+    starts = (ends - sizes)[owner]
+    shared = np.zeros((2, len(sizes)), bool)
+    sides = ((once - _SIDE, once - _SIDE >= starts), (once + ANCHOR, once + ANCHOR + _SIDE <= ends[owner]))
+    for hit, (first, inside) in zip(shared, sides):
         at, who = first[inside], owner[inside]
         side = _mixed(_mixed(_mixed(words[at]) ^ words[at + 8] * _B) ^ words[at + _SIDE - 8] * _C) ^ _mixed(anchor[who].view(np.uint64))
         order = np.argsort(side)
         same = side[order][1:] == side[order][:-1]
-        out[who[order[1:][same]]] = True
-        out[who[order[:-1][same]]] = True
-    return out
+        hit[who[order[1:][same]]] = True
+        hit[who[order[:-1][same]]] = True
+    # windows that start up to here have the bytes before the anchor, the others those behind it
+    split = np.zeros(len(sizes), np.int64)
+    split[owner] = np.maximum(once - starts - _SIDE + 1, 0)
+    before, behind = shared | whole
+    windows = sizes - WINDOW + 1
+    return np.where(before, 0, np.where(behind, split, 0)), np.where(behind, windows, np.where(before, np.minimum(split, windows), 0))
 
 
 def _matched(entries: DataFrame, parted: bool = False) -> DataFrame:
     """(id, version, first, end) of bytes that a smaller document has, from entries sorted by anchor; ``parted``: by half."""
 
-    def block(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if parted:
-            chosen = rows
+    def block(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not parted:
+            body = table["body"].combine_chunks().cast(pa.large_binary())
+            body = body.chunk(0) if isinstance(body, pa.ChunkedArray) else body
+            ends = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+            data = body.buffers()[2].to_pybytes()[ends[0] : ends[-1]]
+            first, end = contested(table["anchor"].to_numpy(), data, np.diff(ends))
+            some = np.flatnonzero(end > first)
+            rows = zip(*(c.to_pylist() for c in table.take(pa.array(some)).columns), first[some].tolist(), end[some].tolist())
+            rows = [(anchor, ids, version, [s + a for s in starts], body[a : b + WINDOW - 1]) for anchor, ids, version, starts, body, a, b in rows]
         else:
-            chosen = [rows[i] for i in np.flatnonzero(contested(np.array([r[0] for r in rows], np.int64), [r[4] for r in rows]))]
-        if chosen:
-            yield from indexed(chosen)
+            rows = list(zip(*(c.to_pylist() for c in table.columns)))
+        if rows:
+            yield from indexed(rows)
 
     def indexed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         owners, bodies = np.array([r[1] for r in rows], np.int64), [r[4] for r in rows]
         windows = np.array(list(map(len, bodies))) - WINDOW + 1
         gone = np.zeros((len(rows), int(windows.max()) + 1), bool)
-        for text, place, match, owner in RunIndex(bodies, owners).stream(bodies):
+        for text, place, match, owner in RunIndex(bodies, owners).stream(bodies, own=True):
             hit = (match == WINDOW) & (owner < owners[text])
             gone[text[hit], place[hit]] = True
         edge = np.diff(gone.astype(np.int8), axis=1, prepend=0)
@@ -438,17 +491,21 @@ def _matched(entries: DataFrame, parted: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["id", "version", "first", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        held = 0
-        for batch in slices(batches):
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held > BLOCK and row[0] != rows[-1][0]:
-                    yield from block(rows)
-                    rows, held = [], 0
-                rows.append(row)
-                held += len(row[4])
-        if rows:
-            yield from block(rows)
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(4).nbytes
+            if size > BLOCK:
+                table = pa.Table.from_batches(held)
+                anchor = table["anchor"].to_numpy()
+                cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor's entries may go on
+                if cut:
+                    yield from block(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
+                size = sum(b.column(4).nbytes for b in held)
+        if held:
+            yield from block(pa.Table.from_batches(held))
 
     return entries.mapInArrow(run, "id long, version long, first long, end long")
 
@@ -462,15 +519,15 @@ def _kept(joined: DataFrame) -> DataFrame:
             texts, keys, marks = _bytes(batch.column(1)), batch.column(2), batch.column(3)
             removed, spans, digests = [0] * len(texts), [0] * len(texts), [""] * len(texts)
             cuts: dict[int, list] = {}
-            chosen = [i for i, k in enumerate(keys) if k.is_valid]
+            chosen = np.flatnonzero(keys.is_valid().to_numpy(zero_copy_only=False))
+            wanted = Wanted(keys.take(pa.array(chosen)), False)
             for at, some in _segments([texts[i] for i in chosen]):
                 pieces = Pieces(some)
-                own, bounds = pieces.keys(), np.searchsorted(pieces.text, np.arange(len(some) + 1))
-                for k in range(len(some)):
-                    row, part = chosen[at + k], slice(bounds[k], bounds[k + 1])
-                    hit = np.isin(own[part], keys[row].values.to_numpy())
-                    first = pieces.start[part][hit]
-                    cuts[row] = [(first, first + pieces.windows[part][hit] + WINDOW - 1)]
+                hits = wanted.among(at, len(some), pieces)
+                first, owner = pieces.start[hits], chosen[at + pieces.text[hits]]
+                end, edges = first + pieces.windows[hits] + WINDOW - 1, np.flatnonzero(np.diff(owner, prepend=-1))
+                for low, high in zip(edges, [*edges[1:], len(owner)]):
+                    cuts[int(owner[low])] = [(first[low:high], end[low:high])]
             for row, found in enumerate(marks):
                 if found.is_valid:
                     version, first, end = (found.values.field(n).to_numpy() for n in ("version", "first", "end"))

@@ -103,6 +103,27 @@ def test_matching_statistics_of_other_texts():
                 assert got[t, p] == (m, first), (alphabet, t, p)
 
 
+@pytest.mark.parametrize("wide", [False, True])
+def test_texts_of_the_index_start_at_their_last_windows(monkeypatch, wide):
+    if wide:  # ranks that fit into no common number
+        given = R._ranked
+        monkeypatch.setattr(R, "_ranked", lambda *keys: given(*keys) if len(keys) == 1 else (o := np.lexsort(keys[::-1]), np.unique(np.stack(keys), axis=1, return_inverse=True)[1].ravel()))
+    rnd = random.Random(12)
+    base = bytes(rnd.choice(b"ab") for _ in range(300))
+    texts = []
+    for _ in range(80):
+        a = rnd.randint(0, 200)
+        text = bytearray(base[a : a + rnd.randint(50, 100)])
+        text[rnd.randrange(len(text))] = rnd.choice(b"abz")
+        texts.append(bytes(text))
+    owners = np.array([rnd.randint(0, 30) for _ in texts])
+    got = {}
+    for text, place, match, owner in R.RunIndex(texts, owners).stream(texts, own=True):
+        assert (match == R.WINDOW).all()
+        got |= dict(zip(zip(text.tolist(), place.tolist()), owner.tolist()))
+    assert got == {(t, i): min(o for y, o in zip(texts, owners.tolist()) if x[i : i + 50] in y) for t, x in enumerate(texts) for i in range(len(x) - 49)}
+
+
 def test_repetitive_texts_have_few_runs():
     rnd = random.Random(6)
     base = bytes(rnd.choice(b"abcdefghij") for _ in range(3000))
@@ -134,10 +155,11 @@ def test_only_entries_without_a_common_window_are_left_out():
         p = R.Pieces(texts)
         entries = [(int(p.anchor[j].view(np.int64)), texts[p.text[j]][p.start[j] : p.start[j] + p.windows[j] + 49]) for j in range(len(p.start))]
         entries = sorted(set(entries))
-        kept = R.contested(np.array([a for a, _ in entries], np.int64), [b for _, b in entries])
-        windows = [{b[i : i + 50] for i in range(len(b) - 49)} for _, b in entries]
-        for i, (a, _) in enumerate(entries):
-            assert kept[i] or not any(windows[i] & windows[j] for j, (c, _) in enumerate(entries) if i != j)
+        first, end = R.contested(np.array([a for a, _ in entries], np.int64), b"".join(b for _, b in entries), np.array([len(b) for _, b in entries]))
+        windows = [[b[i : i + 50] for i in range(len(b) - 49)] for _, b in entries]
+        for i, own in enumerate(windows):
+            others = {x for j, more in enumerate(windows) if i != j for x in more}
+            assert all(first[i] <= k < end[i] for k, x in enumerate(own) if x in others) and end[i] <= len(own)
 
 
 def test_very_long_text(spark):
