@@ -15,7 +15,6 @@ the next version is written whole.
 from __future__ import annotations
 
 import json
-import re
 import time
 import uuid
 from pathlib import Path
@@ -66,7 +65,7 @@ class Index:
         self._store, self._log = Store(spark, self.folder), Store(spark, joined(self.folder, "log"))
 
     def _numbers(self) -> list[int]:
-        return sorted(int(n) for n, folder, _ in self._log.entries() if not folder and re.fullmatch(r"\d{12}", n))
+        return sorted(int(n) for n, folder, _ in self._log.entries() if not folder and len(n) == 12 and n.isdigit())
 
     def state(self, number: int | None = None) -> dict:
         """Entry ``number`` of the log, or the newest; before the first sync an empty one."""
