@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -61,3 +64,51 @@ def test_repeated_documents_teach_once_and_in_any_order(spark):
     one = quality.train(spark.createDataFrame(rows + again, DOCS), labels)
     two = quality.train(spark.createDataFrame((rows + again)[::-1], DOCS), labels)
     assert np.array_equal(one.w, two.w) and np.array_equal(one.v, two.v)
+
+
+def plain_features(text, n_chars):
+    """{slot: value}, restated from the module's description: words by slot, then eleven levels."""
+    text = text or ""
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", text.lower().encode()) if w]
+    counts = Counter(zlib.crc32(w) % 16384 for w in words)
+    length = math.sqrt(sum(math.log(1 + c) ** 2 for c in counts.values()))
+    out = {slot: math.log(1 + c) / length for slot, c in counts.items()}
+    n, size = max(1, len(words)), max(1, len(text))
+    shares = [
+        size / n / 16,
+        sum(c in "#*$%&|<>!" for c in text) / n / 2,
+        sum(c.isupper() for c in text) * 2 / size,
+        len(set(words)) / n,
+        len({(a, b) for a, b in zip(words, words[1:])}) / n,
+        4 * sum(c == "." for c in text) / n,
+        2 * sum(c == "|" for c in text) / n,
+        4 * sum(c in "0123456789" for c in text) / size,
+        math.log2(n + 1) / 16,
+        math.log2(size / len(text.split("\n")) + 1) / 16,
+        math.log2(max(0, n_chars or 0) + 1) / 20,
+    ]
+    for i, share in enumerate(shares):
+        out[16384 + 12 * i + min(11, max(0, math.floor(share * 12)))] = 0.5
+    return out
+
+
+def test_features_and_scores_equal_their_restatement(spark):
+    rnd = random.Random(21)
+    docs, labels = corpus(90)
+    parts = ["a", "THE", "é", "Ünï", "#", "|", "1.5", "\n", " ", "\t", "x" * 30, "日本", "<b>", "\x0b", "."]
+    docs += [(500 + i, "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 60))), None, None, rnd.choice([None, 0, -3, 5, 10**6])) for i in range(150)]
+    docs += [(900, "word " * 60_000 + "Ende", "de", "s", 300_004), (901, None, None, None, None), (902, "", None, None, 0)]
+    for _, text, _, _, n in docs:
+        ids, x = quality.features(text, n)
+        want = plain_features(text, n)
+        assert ids.tolist() == sorted(want) and np.allclose(x, [want[i] for i in sorted(want)], atol=1e-12)
+    d = spark.createDataFrame(docs, DOCS)
+    machine = quality.train(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r.score for r in quality.scored(d, machine).collect()}
+    for doc, text, _, _, n in docs:
+        one = sorted(plain_features(text, n).items())
+        # all pairs of features, one by one
+        raw = machine.bias + sum(machine.w[i] * x for i, x in one)
+        v = np.array([machine.v[i] * x for i, x in one])
+        raw += np.triu(v @ v.T, 1).sum()
+        assert abs(got[doc] - 1 / (1 + math.exp(-raw))) < 1e-9
