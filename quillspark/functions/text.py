@@ -45,25 +45,39 @@ def _prefix_sums(values: Column) -> Column:
     return F.aggregate(spans, F.concat(F.array(F.lit(0)), values), doubled)
 
 
-def packed(paras: Column, size: int, overlap: int) -> Column:
-    """Paragraphs packed greedily, in order, into pieces of at most ``size`` code points.
+FOLDED = 512  # paragraphs up to which starts are found one after another
+
+
+def _folded_starts(lengths: Column, size: int) -> Column:
+    """Where pieces start, by one step a paragraph; each step copies the starts so far."""
+
+    def step(a: Column, n: Column) -> Column:
+        fits = (a["held"] >= 0) & (a["held"] + n + 1 <= size)
+        return F.struct(
+            (a["i"] + 1).alias("i"),
+            F.when(fits, a["held"] + n + 1).when(n > size, F.lit(-1)).otherwise(n).alias("held"),
+            F.when(fits, a["at"]).otherwise(F.array_append(a["at"], a["i"])).alias("at"),
+        )
+
+    nothing = F.struct(F.lit(0).alias("i"), F.lit(-1).alias("held"), F.array().cast("array<int>").alias("at"))
+    return F.aggregate(lengths, nothing, step, lambda a: a["at"])
 
-    Where a piece that starts at a paragraph ends is found by binary search in prefix sums of the lengths; the starts that
-    are reached from the first paragraph are gathered by jumping along these ends, twice as far each time.  So a text of n
-    paragraphs takes n log n steps, and its characters are copied once.
-    """
-    most = F.lit((size // 2 + 1).bit_length())  # a piece has half as many paragraphs as characters at most
 
-    def cut(t: Column) -> Column:
-        n = F.size(t["p"])
+def _jumped_starts(lengths: Column, size: int) -> Column:
+    """The same by n log n steps: a piece's end by binary search in prefix sums, and jumps along the ends, twice as far each time."""
+    n = F.size(lengths)
+    most = F.lit((size // 2 + 1).bit_length())  # a piece has half as many paragraphs as characters at most
+    powers = F.sequence(F.least(F.length(F.bin(n.cast("long"))), most) - 1, F.lit(0), F.lit(-1))
+    steps = F.transform(powers, lambda k: F.call_function("shiftleft", F.lit(1), k))
 
+    def ends(t: Column) -> Column:
         def end(length: Column, i: Column) -> Column:
             def further(j: Column, step: Column) -> Column:
                 return F.when((j + step <= n) & (F.get(t["sums"], j + step) <= F.get(t["sums"], i) + size + 1), j + step).otherwise(j)
 
             return F.when(length > size, i + 1).otherwise(F.aggregate(t["steps"], i + 1, further))
 
-        return F.concat(F.transform(t["lengths"], end), F.array(n))
+        return F.concat(F.transform(lengths, end), F.array(n))
 
     def jumped(a: Column, _: Column) -> Column:
         return F.struct(
@@ -71,27 +85,33 @@ def packed(paras: Column, size: int, overlap: int) -> Column:
             F.concat(a["at"], F.transform(a["at"], lambda i: F.get(a["to"], i))).alias("at"),
         )
 
-    def pieces(t: Column, ends: Column) -> Column:
-        n = F.size(t["p"])
-        starts = F.aggregate(
-            F.sequence(F.lit(1), F.length(F.bin(n.cast("long")))), F.struct(ends.alias("to"), F.array(F.lit(0)).alias("at")), jumped, lambda a: a["at"]
-        )
+    found = let(F.struct(_prefix_sums(F.transform(lengths, lambda x: x + 1)).alias("sums"), steps.alias("steps")), ends)
+    start = F.struct(found.alias("to"), F.array(F.lit(0)).alias("at"))
+    starts = F.aggregate(F.sequence(F.lit(1), F.length(F.bin(n.cast("long")))), start, jumped, lambda a: a["at"])
+    return F.filter(starts, lambda i: i < n)
+
+
+def packed(paras: Column, size: int, overlap: int) -> Column:
+    """Paragraphs packed greedily, in order, into pieces of at most ``size`` code points.
+
+    Only the paragraphs' lengths decide where pieces start; then each is cut out once, so a text's characters are copied a
+    fixed number of times however long it is.
+    """
 
-        def piece(i: Column) -> Column:
-            joined = F.array_join(F.slice(t["p"], i + 1, F.get(ends, i) - i), "\n")
+    def cut(t: Column, starts: Column) -> Column:
+        def piece(i: Column, k: Column) -> Column:
+            joined = F.array_join(F.slice(t["p"], i + 1, F.coalesce(F.get(starts, k + 1), F.size(t["p"])) - i), "\n")
             return F.when(F.get(t["lengths"], i) > size, hard_split(F.get(t["p"], i), size, overlap)).otherwise(F.array(joined))
 
-        return F.flatten(F.transform(F.filter(starts, lambda i: i < n), piece))
+        return F.flatten(F.transform(starts, piece))
 
     def measured(p: Column) -> Column:
-        powers = F.sequence(F.least(F.length(F.bin(F.size(p).cast("long"))), most) - 1, F.lit(0), F.lit(-1))
-        steps = F.transform(powers, lambda k: F.call_function("shiftleft", F.lit(1), k))
-        return let(
-            F.transform(p, lambda x: F.length(x)),
-            lambda n: F.struct(p.alias("p"), n.alias("lengths"), _prefix_sums(F.transform(n, lambda x: x + 1)).alias("sums"), steps.alias("steps")),
-        )
+        return F.struct(p.alias("p"), F.transform(p, lambda x: F.length(x)).alias("lengths"))
+
+    def starts(t: Column) -> Column:
+        return F.when(F.size(t["p"]) <= FOLDED, _folded_starts(t["lengths"], size)).otherwise(_jumped_starts(t["lengths"], size))
 
-    return let(let(paras, measured), lambda t: let(cut(t), lambda ends: pieces(t, ends)))
+    return let(let(paras, measured), lambda t: let(starts(t), lambda at: cut(t, at)))
 
 
 def overlapped(pieces: Column, overlap: int) -> Column:
