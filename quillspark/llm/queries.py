@@ -81,4 +81,5 @@ ORACLES = {
     "op4_decontam": decontam.ORACLE_SQL,
     "op7_sharding": sharding.ORACLE_SQL,
     "op9_rules": rules.ORACLE_SQL,
+    "op11_runindex": runindex.ORACLE_SQL,
 }

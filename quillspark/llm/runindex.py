@@ -576,3 +576,23 @@ def repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     marks = _matched(calm.sortWithinPartitions("anchor", "id")).unionByName(_matched(parted.repartition("anchor").sortWithinPartitions("anchor", "id"), True))
     marks = marks.groupBy("id").agg(F.collect_list(F.struct("version", "first", "end")).alias("marks"))
     return _kept(joined.join(marks, "id", "left").select("id", "text", "keys", "marks"))
+
+
+# windows in hexadecimal, cut from stretches of 500 bytes; removed runs; what lies between them
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+part AS (SELECT r, doc_id, c, substr(h, (2 * c + 1)::bigint, {2 * (500 + WINDOW - 1)}) AS p
+  FROM d, unnest(range(0, (length(h) // 2 - {WINDOW - 1})::bigint, 500)) u(c)),
+w AS (SELECT r, doc_id, c + j AS i, substr(p, (2 * j + 1)::bigint, {2 * WINDOW}) AS s
+  FROM part, unnest(range(0, (length(p) // 2 - {WINDOW - 1})::bigint)) u(j)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+hit AS (SELECT r, i FROM w JOIN m USING (s) WHERE least < doc_id),
+edge AS (SELECT r, i, (i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + {WINDOW}, -1))::int AS fresh FROM hit),
+runs AS (SELECT r, n, min(i) AS low, max(i) + {WINDOW} AS high FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM edge) GROUP BY r, n),
+before AS (SELECT r, low, high, coalesce(lag(high) OVER (PARTITION BY r ORDER BY low), 0) AS last FROM runs),
+cut AS (SELECT r, sum(high - low)::bigint AS n_removed, count(*) AS n_spans, max(high) AS last,
+  string_agg(substr(h, (2 * last + 1)::bigint, (2 * (low - last))::bigint), '' ORDER BY low) AS head FROM before JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (length(h) // 2)::bigint AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head || substr(h, (2 * last + 1)::bigint), h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
