@@ -263,7 +263,13 @@ def _occurring(docs: DataFrame) -> DataFrame:
             found = [(at, Pieces(some)) for at, some in _segments(texts)]
             anchor, piece = np.concatenate([p.anchor for _, p in found]), np.concatenate([p.hash for _, p in found])
             owner = ids[np.concatenate([at + p.text for at, p in found])]
-            order = np.lexsort((owner, piece, anchor))
+            # most pieces stand once in a batch; only the others are put in order of the document, too
+            key = key_of(anchor, piece)
+            order = np.argsort(key)
+            equal = np.append(False, key[order][1:] == key[order][:-1])
+            several = equal | np.append(equal[1:], False)
+            again = order[several]
+            order = np.concatenate([order[~several], again[np.lexsort((owner[again], piece[again], anchor[again]))]])
             anchor, piece, owner = anchor[order], piece[order], owner[order]
             fresh = np.ones(len(order), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
